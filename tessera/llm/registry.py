@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import pii, secrets
+from tessera.llm import chat, mixing, pii, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": pii.op2_pii,
     "op3_secrets": secrets.op3_secrets,
+    "op4_simhash": simhash.op4_simhash,
+    "op9_chat": chat.op9_chat,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_pii": pii.ORACLE_SQL,
     "op3_secrets": secrets.ORACLE_SQL,
+    "op9_chat": chat.ORACLE_SQL,
+    "op10_mixing": mixing.ORACLE_SQL,
 }
