@@ -38,11 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_of, discard, materialize, table, words
+from tessera.llm.common import bucket_of, materialize, table, words
 
 CLASSES, FEATURES, BITS = 32, 7, 13
 TABLE = 1 << BITS
-ROUNDS, RATE, PRIOR = 3, 0.45, 2.0
+ROUNDS, RATE, PRIOR = 4, 0.2, 3.0
 END, REPEAT = 0, 1
 _END_WORD = b" "
 _BLOCK_TOKENS, _BLOCK_DOCS, _BATCH = 600_000, 4000, 1 << 14
@@ -163,12 +163,11 @@ def gradient(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.nda
                     own = use[at : at + _BATCH]
                     x, p = places[own], _chances(weights, places[own])
                     for f in range(FEATURES):
-                        seen += np.bincount(x[:, f].astype(np.int64) * CLASSES + target[own], minlength=seen.size).reshape(seen.shape) if f == 0 else 0
                         order = np.argsort(x[:, f], kind="stable")
                         s = x[order, f]
                         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                         meant[s[first]] += np.add.reduceat(p[order], first, axis=0)
-                key = (places[use].astype(np.int64) * CLASSES + target[use, None])[:, 1:]
+                key = places[use].astype(np.int64) * CLASSES + target[use, None]
                 seen += np.bincount(key.ravel(), minlength=seen.size).reshape(seen.shape)
         part = TaskContext.get().partitionId()
         for k in range(_CHUNKS):
@@ -188,13 +187,20 @@ def gradient(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def train(blocks: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the class model after one pass over the training texts, in ``rounds`` shards."""
+def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the class model after one pass over the training texts, in ``rounds`` shards.
+
+    They start from the classes' shares of the tokens.  A step follows the
+    gradient, observed less expected count, on the scale of a log ratio.
+    """
     weights = np.zeros((TABLE, CLASSES), np.float32)
+    always = _context(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))[0, 0]
+    weights[always] = np.log((shares + 1e-6) / (shares + 1e-6).sum())
+    weights[always, REPEAT] = np.log(0.01)
     for k in range(rounds):
         shard = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k)
         seen, meant = gradient(shard, weights)
-        step = (seen - meant) / np.sqrt((seen + PRIOR) * (meant + PRIOR))
+        step = np.log((seen + PRIOR) / (meant + PRIOR))
         weights += (RATE * np.clip(step, -3, 3)).astype(np.float32)
     return weights
 
@@ -255,7 +261,8 @@ def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     counts = blocks.select("block").join(counts, "block", "left")
     none = F.array().cast("array<struct<place:int,n:bigint>>")
     counts = counts.select("block", F.coalesce("w", none).alias("w")).select("block", F.col("w.place").alias("places"), F.col("w.n").alias("known"))
-    return score(blocks, counts, train(blocks), totals)
+    shares = np.array([totals.get(c, (0, 0))[0] for c in range(CLASSES)], float)
+    return score(blocks, counts, train(blocks, shares), totals)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

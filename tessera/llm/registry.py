@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, pii, secrets, simhash
+from tessera.llm import chat, decontamination, language_model, mixing, multiset, pii, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_pii": pii.op2_pii,
     "op3_secrets": secrets.op3_secrets,
     "op4_simhash": simhash.op4_simhash,
+    "op5_language_model": language_model.op5_language_model,
+    "op6_fingerprints": multiset.op6_fingerprints,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat": chat.op9_chat,
     "op10_mixing": mixing.op10_mixing,
 }
