@@ -60,6 +60,13 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: str) -> bytes:
     """UTF-8 bytes of ``text`` with A-Z lower-cased and nothing else changed."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER)

@@ -148,12 +148,13 @@ def mixed(docs: DataFrame, mix: Mix = PRODUCTION, text: str = "text") -> DataFra
 
     Columns of these names in ``docs`` are replaced.
     """
-    docs = docs.drop("domain", "n_tokens", "epochs", "language", "origin")
-    leaves = materialize(plan(docs, mix, text))
+    kept = [c for c in docs.columns if c not in ("domain", "n_tokens", "epochs")]
+    packed = docs.select("doc_id", F.col(text).alias("text"), "lang", "source", F.struct(*kept).alias("row"))
+    leaves = materialize(plan(packed, mix, "text"))
     cut = leaves.select(*LEAF, "whole", "last")
-    out = _leaf_columns(docs, mix, text).join(_small(cut, cut), LEAF)
+    out = _leaf_columns(packed, mix, "text").join(_small(cut, cut), LEAF)
     used = F.col("whole") + F.coalesce((_key(F.col("whole"), mix.seed) <= F.col("last")).cast("long"), F.lit(0))
-    return out.withColumn("epochs", used).where("epochs > 0").select(*docs.columns, "domain", "n_tokens", "epochs")
+    return out.withColumn("epochs", used).where("epochs > 0").select("row.*", "domain", "n_tokens", "epochs")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

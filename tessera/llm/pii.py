@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fresh, table
 from tessera.llm.spans import Kind, digest, redacted, with_spans
 
 _PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -88,8 +88,9 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFr
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets."""
-    found = find_pii(docs, text, "__found")
-    return found.withColumn(text, redacted(F.col(text), F.col("__found"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))).drop("__found")
+    into = fresh(docs, "__found")
+    found = find_pii(docs, text, into)
+    return found.withColumn(text, redacted(F.col(text), F.col(into), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))).drop(into)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, table
-from tessera.llm.regression import fit_logistic, sigmoid
+from tessera.llm.common import fresh, materialize, table
+from tessera.llm.regression import fit_logistic
 
 SAMPLE = 20_000
 BITS = 15
@@ -170,17 +171,17 @@ def kth_largest(rows: DataFrame, key: str, k: int, bands: int = 4096) -> float |
     return rows.agg(F.min(key)).first()[0]
 
 
-def weighed(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``log_weight`` in front, in one pass that moves no row."""
+def weighed(docs: DataFrame, model: Model, into: str) -> DataFrame:
+    """``docs`` with the log weight of each row in front, in one pass that moves no row."""
     names = docs.columns
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = np.array([model.logit(t) for t in batch.column(place).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([pa.array(-np.logaddexp(0, -z)), *batch.columns], names=["__log_weight", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(-np.logaddexp(0, -z)), *batch.columns], names=[into, *names])
 
-    return docs.mapInArrow(run, "__log_weight double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return docs.mapInArrow(run, T.StructType([T.StructField(into, T.DoubleType()), *docs.schema.fields]))
 
 
 def draw(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, float | None]:
@@ -189,7 +190,7 @@ def draw(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, f
     if model is None:
         light = docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))
         return None, light, 0.0
-    scored = weighed(docs.select("doc_id", "text"), model).select("doc_id", F.col("__log_weight").alias("log_weight"))
+    scored = weighed(docs.select("doc_id", "text"), model, "log_weight").drop("text")
     light = materialize(scored.withColumn("gumbel_key", SHARPNESS * F.col("log_weight") + gumbel(F.col("doc_id"))))
     k = round(light.agg(F.coalesce(F.sum(F.exp("log_weight")), F.lit(0.0))).first()[0])
     return model, light, kth_largest(light, "gumbel_key", k)
@@ -200,8 +201,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, _, least = draw(docs, labels)
     if model is None:
         return docs
-    key = SHARPNESS * F.col("__log_weight") + gumbel(F.col("doc_id"))
-    return weighed(docs, model).where(key >= least if least is not None else F.lit(False)).select(*docs.columns)
+    into = fresh(docs, "__log_weight")
+    key = SHARPNESS * F.col(into) + gumbel(F.col("doc_id"))
+    return weighed(docs, model, into).where(key >= least if least is not None else F.lit(False)).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fresh, table
 from tessera.llm.spans import Kind, digest, redacted, with_spans
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
@@ -126,8 +126,9 @@ def find_secrets(docs: DataFrame, text: str = "text", into: str = "spans", weigh
 
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by ``<secret>``; a null text stays null."""
-    found = find_secrets(docs, text, "__found")
-    return found.withColumn(text, redacted(F.col(text), F.col("__found"), lambda s: F.lit("<secret>"))).drop("__found")
+    into = fresh(docs, "__found")
+    found = find_secrets(docs, text, into)
+    return found.withColumn(text, redacted(F.col(text), F.col(into), lambda s: F.lit("<secret>"))).drop(into)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh
+
 SPAN = "struct<start:int,rank:int,kind:string,stop:int,hit:string,score:int>"
 SPANS = f"array<{SPAN}>"
 _MATCH = "array<struct<start:int,stop:int,hit:string>>"
@@ -70,17 +72,18 @@ def _free(spans: Column, taken: Column, least: int) -> Column:
 def with_spans(docs: DataFrame, text: str, kinds: Sequence[Kind], into: str = "spans", width: int = 40) -> DataFrame:
     """Add ``into``: the sorted spans of all kinds in column ``text``.
 
-    A null text counts as empty.  The rows stay where they are: no shuffle.
+    A null text counts as empty; a column of that name is replaced.  The rows
+    stay where they are: no shuffle.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    own = [f"__{part}_{k}" for k in range(len(kinds)) for part in ("hits", "gaps", "spans")]
-    assert not set(own) & set(docs.columns)
+    p = fresh(docs, "__")
+    own = [f"{p}{part}_{k}" for k in range(len(kinds)) for part in ("hits", "gaps", "spans")]
     out = docs.withColumns({
-        f"__hits_{k}": F.when(kind.gate(whole), F.regexp_extract_all(whole, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        f"{p}hits_{k}": F.when(kind.gate(whole), F.regexp_extract_all(whole, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
         for k, kind in enumerate(kinds)
     })
     out = out.withColumns({
-        f"__gaps_{k}": F.when(F.size(f"__hits_{k}") > 0, F.split(whole, kind.pattern, -1)).otherwise(F.array().cast("array<string>"))
+        f"{p}gaps_{k}": F.when(F.size(f"{p}hits_{k}") > 0, F.split(whole, kind.pattern, -1)).otherwise(F.array().cast("array<string>"))
         for k, kind in enumerate(kinds)
     })
 
@@ -96,17 +99,17 @@ def with_spans(docs: DataFrame, text: str, kinds: Sequence[Kind], into: str = "s
             before, after = _around(whole, m["start"], m["stop"], width)
             return F.struct(m["start"].alias("start"), F.lit(k).alias("rank"), F.lit(kind.name).alias("kind"), m["stop"].alias("stop"), m["hit"].alias("hit"), kind.score(m["hit"], before, after).cast("int").alias("score"))
 
-        there = F.filter(_positions(F.col(f"__gaps_{k}"), F.col(f"__hits_{k}")), lambda m: kind.valid(m["hit"]) & edges_free(m))
-        return F.when(F.size(f"__hits_{k}") > 0, F.transform(there, span)).otherwise(F.array().cast(SPANS))
+        there = F.filter(_positions(F.col(f"{p}gaps_{k}"), F.col(f"{p}hits_{k}")), lambda m: kind.valid(m["hit"]) & edges_free(m))
+        return F.when(F.size(f"{p}hits_{k}") > 0, F.transform(there, span)).otherwise(F.array().cast(SPANS))
 
     base = [k for k, kind in enumerate(kinds) if kind.base]
     added = [k for k, kind in enumerate(kinds) if not kind.base]
-    out = out.withColumns({f"__spans_{k}": spans_of(k, kind) for k, kind in enumerate(kinds)})
-    sure = F.concat(*[F.col(f"__spans_{k}") for k in base])
+    out = out.withColumns({f"{p}spans_{k}": spans_of(k, kind) for k, kind in enumerate(kinds)})
+    sure = F.concat(*[F.col(f"{p}spans_{k}") for k in base])
     taken = sure
     for k in added:  # an added span gives way to base spans and to kinds listed before its own
-        free = _free(F.col(f"__spans_{k}"), taken, kinds[k].least)
-        taken = F.concat(taken, F.when(F.size(f"__spans_{k}") > 0, free).otherwise(F.array().cast(SPANS)))
+        free = _free(F.col(f"{p}spans_{k}"), taken, kinds[k].least)
+        taken = F.concat(taken, F.when(F.size(f"{p}spans_{k}") > 0, free).otherwise(F.array().cast(SPANS)))
     return out.withColumn(into, F.array_sort(taken)).drop(*own)
 
 
