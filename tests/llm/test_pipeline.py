@@ -1,0 +1,44 @@
+from __future__ import annotations
+
+import corpus_pipeline
+from tessera.llm import decontamination, mixing, quality, registry, secrets, simhash
+
+
+def test_stages_do_their_work(spark, make_docs, prose, sf_dir):
+    junk = lambda k: " ".join(w + "***" for w in prose(k, 60).split())
+    item = prose(5000, 40)
+    listed = [(k, prose(k, 80)) for k in range(120)] + [(200 + k, junk(k)) for k in range(30)]
+    listed += [(300 + k, prose(7, 80)) for k in range(20)]  # copies
+    listed += [(400, prose(400, 80) + " " + item), (401, prose(401, 80) + " password=hunter2222 " + prose(402, 9)), (402, None), (403, "")]
+    docs = make_docs(listed)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)] + [(200 + k, 0, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    path = sf_dir(documents=docs, labels=labels, benchmark=bench)
+    seen, now = {}, spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, path)
+        seen[name] = {r.doc_id: r for r in now.collect()}
+        if name != "mixing":
+            assert now.columns == docs.columns
+    assert len(seen["quality"].keys() & set(range(200, 230))) <= 2 and len(seen["quality"].keys() & set(range(120))) >= 117
+    assert not seen["near_duplicates"].keys() & set(range(300, 320)) and seen["near_duplicates"].keys() >= seen["quality"].keys() & set(range(120))
+    assert 400 in seen["near_duplicates"] and 400 not in seen["decontamination"]
+    assert seen["near_duplicates"].keys() - seen["decontamination"].keys() == {400}
+    row = seen["secrets"][401]
+    assert "hunter" not in row.text and "<secret>" in row.text and row.n_chars == len(row.text)
+    assert seen["secrets"].keys() == seen["decontamination"].keys()
+    assert seen["mixing"] and all(r.epochs >= 1 for r in seen["mixing"].values())
+    whole = corpus_pipeline.run(spark, path)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, seen["mixing"].values()))
+
+
+def test_stages_call_the_operators():
+    assert corpus_pipeline.keep_good is quality.keep_good and corpus_pipeline.keep_one is simhash.keep_one
+    assert corpus_pipeline.decontaminate is decontamination.decontaminate
+    assert corpus_pipeline.mask_secrets is secrets.mask_secrets and corpus_pipeline.mixed is mixing.mixed
+    assert registry.QUERIES["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_documents(spark, make_docs, sf_dir):
+    path = sf_dir(documents=make_docs([(1, "x")]).limit(0), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, path).count() == 0
