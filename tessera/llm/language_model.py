@@ -9,12 +9,14 @@ come by either way and both chances count, so probabilities add up to one.
 
 Three steps, none of which brings a vocabulary to one place:
 
-1. Each task writes its texts as blocks: local word numbers, the hash, class
-   and training count of each local word.  Texts are split into words once.
-2. Counts are summed by word hash and joined back to the words of each block,
-   so a frequent word is one row a block, however often it occurs.
+1. Each task writes its texts as blocks: compressed local word numbers, and the
+   hash, class and training count of each local word.  Texts are split into
+   words once, and a frequent word is one entry a block however often it occurs.
+2. Blocks send their entries, packed by range of the hash, to as many shards
+   as keep a shard near ``_SHARD`` entries.  A shard adds its counts and sends
+   each block its totals back, in the block's own order.
 3. The class model is trained by diagonally scaled gradient steps, each summed
-   over the tasks of another shard until every training text was used once,
+   over another share of the texts until every training text was used once,
    and blocks are scored in numpy batches.
 
 Tasks add gradients in chunks of fixed size, so what a reducer and the driver
@@ -45,19 +47,35 @@ TABLE = 1 << BITS
 ROUNDS, RATE, PRIOR = 4, 0.2, 3.0
 END, REPEAT = 0, 1
 _END_WORD = b" "
-_BLOCK_TOKENS, _BLOCK_DOCS, _BATCH = 600_000, 4000, 1 << 14
+#: A block ends after so many words, distinct words or texts.
+_BLOCK_TOKENS, _BLOCK_WORDS, _BLOCK_DOCS = 4_000_000, 300_000, 20_000
+#: Tokens whose features stand in memory at once, and those of one matrix of chances.
+_SLICE, _BATCH, _SHARD = 1 << 18, 1 << 14, 1_000_000
 _CHUNKS, _MOST_TASKS = 256, 4096
 _SALTS = np.random.default_rng(5).integers(1, 1 << 62, FEATURES, np.uint64) | np.uint64(1)
 
-_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>, hashes array<long>, classes array<int>, trained array<long>"
+_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, n long, tokens binary, codes binary, classes binary, hashes binary, trained binary"
 
 
 def class_of(word: bytes) -> int:
     return END if word == _END_WORD else 2 + xxhash.xxh64_intdigest(word[-2:], 7) % (CLASSES - 2)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed, byte plane by byte plane."""
+    x = np.ascontiguousarray(x)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def encode(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Blocks of ``docs``; a block ends after so many tokens or texts, and a longer text is a block of its own."""
+    """Blocks of ``docs``.  Local words are numbered by falling frequency; their codes are the upper half of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
@@ -67,14 +85,18 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def block() -> pa.RecordBatch:
             tokens = np.concatenate(texts)
+            order = np.argsort(-np.bincount(tokens, minlength=len(local)), kind="stable")
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order), dtype=np.int32)
+            tokens = number[tokens]
             train = np.repeat(~np.array(held, bool), [len(t) for t in texts])
-            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in local], np.uint64).view(np.int64)
-            cols = [
-                [(part << 32) + done], [ids], [held], [[len(t) for t in texts]], [tokens], [hashes],
-                [[class_of(w) for w in local]], [np.bincount(tokens[train], minlength=len(local))],
-            ]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in local], np.uint64)[order]
+            classes = np.array([class_of(w) for w in local], np.uint8)[order]
+            trained = np.bincount(tokens[train], minlength=len(local)).astype(np.int32)
+            lists = [[(part << 32) + done], [ids], [held], [[len(t) for t in texts]], [len(local)]]
+            lists += [[_packed(x)] for x in (tokens, (hashes >> np.uint64(32)).astype(np.uint32), classes, hashes, trained)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(lists, kinds)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
 
         for batch in batches:
             for doc_id, out, text in zip(*[c.to_pylist() for c in batch.columns]):
@@ -84,7 +106,7 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
                 ids.append(doc_id)
                 held.append(out)
                 size += len(w)
-                if size >= _BLOCK_TOKENS or len(ids) >= _BLOCK_DOCS:
+                if size >= _BLOCK_TOKENS or len(local) >= _BLOCK_WORDS or len(ids) >= _BLOCK_DOCS:
                     yield block()
                     done += 1
                     local.clear()
@@ -96,26 +118,45 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out.alias("held"), text).mapInArrow(run, _BLOCKS)
 
 
-def _lists(batch: pa.RecordBatch, row: int) -> dict[str, np.ndarray]:
-    out = {}
-    for name, col in zip(batch.schema.names, batch.columns):
-        if pa.types.is_list(col.type):
-            out[name] = col[row].values.to_numpy(zero_copy_only=False)
-    return out
+class Block:
+    """What a row of ``encode`` says, as arrays."""
+
+    def __init__(self, row: dict):
+        self.ids, self.held = row["doc_ids"], np.array(row["held"], bool)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.tokens = _unpacked(row["tokens"], int(self.sizes.sum()), np.int32)
+        self.codes = _unpacked(row["codes"], row["n"], np.uint32)
+        self.classes = _unpacked(row["classes"], row["n"], np.uint8).astype(np.int64)
+
+
+def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    return (codes.astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _places_in_text(sizes: np.ndarray) -> np.ndarray:
+    """For every token of concatenated texts how many come before it in its text."""
+    return np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(_starts(sizes).astype(np.int32), sizes)
+
 
+def _slices(tokens: np.ndarray, place: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, int]]:
+    """Parts of concatenated texts, each after the tokens (their number comes last) that its context reaches back to."""
+    for at in range(0, len(tokens), _SLICE):
+        back = min(at, 3)
+        own = slice(at - back, at + _SLICE)
+        yield slice(at, at + _SLICE), tokens[own], place[own], back
 
-def _context(hashes: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """``(tokens, FEATURES)`` places in the table for every token of concatenated texts."""
-    n = len(hashes)
-    place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+
+def _context(codes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``(tokens, FEATURES)`` places in the table; ``place`` is each token's in its text."""
+    n = len(codes)
     h, c = [], []
     for lag in (1, 2, 3):
         there = place >= lag
         before = np.maximum(np.arange(n) - lag, 0)
-        h.append(np.where(there, hashes[before], 0).astype(np.int64).view(np.uint64))
+        h.append(np.where(there, codes[before].astype(np.uint64) + np.uint64(1), np.uint64(0)))
         c.append(np.where(there, classes[before], CLASSES).astype(np.uint64))
     one, k = np.uint64(1), np.uint64(CLASSES + 1)
-    keys = [np.zeros(n, np.uint64), h[0], h[1], c[0], c[0] * k + c[1], c[1] * k + c[2], (c[0] * k + c[1]) * k + c[2]]
+    keys = (np.zeros(n, np.uint64), h[0], h[1], c[0], c[0] * k + c[1], c[1] * k + c[2], (c[0] * k + c[1]) * k + c[2])
     out = np.empty((n, FEATURES), np.uint16)
     for f, key in enumerate(keys):
         x = (key + one) * _SALTS[f]
@@ -135,40 +176,41 @@ def _chances(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
     return z
 
 
-def _repeats(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    again = np.r_[False, tokens[1:] == tokens[:-1]]
-    again[starts] = False
-    return again
+def _repeats(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a token is that before it in its text."""
+    return np.r_[False, tokens[1:] == tokens[:-1]] & (place > 0)
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
-    return np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+    return np.cumsum(sizes, dtype=np.int64) - sizes
 
 
-def gradient(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected feature-class counts over the training texts of ``blocks``."""
+def gradient(blocks: DataFrame, weights: np.ndarray, turn: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Observed and expected feature-class counts over the training texts whose turn it is."""
     rows = TABLE // _CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, meant = np.zeros((TABLE, CLASSES)), np.zeros((TABLE, CLASSES))
-        for batch in batches:
-            for r in range(batch.num_rows):
-                b = _lists(batch, r)
-                starts, tokens = _starts(b["sizes"]), b["tokens"]
-                classes = b["classes"][tokens]
-                places = _context(b["hashes"][tokens], classes, starts)
-                target = np.where(_repeats(tokens, starts), REPEAT, classes)
-                use = np.flatnonzero(np.repeat(~b["held"].astype(bool), b["sizes"]))
-                for at in range(0, len(use), _BATCH):
-                    own = use[at : at + _BATCH]
-                    x, p = places[own], _chances(weights, places[own])
-                    for f in range(FEATURES):
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            b = Block(row)
+            use = ~b.held & (np.arange(len(b.held)) % rounds == turn)
+            all_tokens, place = b.tokens[np.repeat(use, b.sizes)], _places_in_text(b.sizes[use])
+            for _, tokens, at_place, back in _slices(all_tokens, place):
+                classes = b.classes[tokens]
+                places = _context(b.codes[tokens], classes, at_place)[back:]
+                target = np.where(_repeats(tokens, at_place), REPEAT, classes)[back:]
+                for at in range(0, len(places), _BATCH):
+                    x = places[at : at + _BATCH]
+                    p = _chances(weights, x)
+                    meant[x[0, 0]] += p.sum(axis=0)
+                    for f in range(1, FEATURES):
                         order = np.argsort(x[:, f], kind="stable")
                         s = x[order, f]
                         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                         meant[s[first]] += np.add.reduceat(p[order], first, axis=0)
-                key = places[use].astype(np.int64) * CLASSES + target[use, None]
-                seen += np.bincount(key.ravel(), minlength=seen.size).reshape(seen.shape)
+                for f in range(FEATURES):
+                    key = places[:, f].astype(np.int64) * CLASSES + target
+                    seen += np.bincount(key, minlength=seen.size).reshape(seen.shape)
         part = TaskContext.get().partitionId()
         for k in range(_CHUNKS):
             own = slice(k * rows, (k + 1) * rows)
@@ -180,7 +222,8 @@ def gradient(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.nda
         total = [sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.column(c).to_pylist()).astype(np.float32).tobytes() for c in ("seen", "meant")]
         return pa.table({"chunk": group.column("chunk")[:1], "seen": pa.array([total[0]], pa.binary()), "meant": pa.array([total[1]], pa.binary())})
 
-    parts = blocks.coalesce(_MOST_TASKS).mapInArrow(run, "chunk int, part int, seen binary, meant binary")
+    light = blocks.select("doc_ids", "held", "sizes", "n", "tokens", "codes", "classes")
+    parts = light.coalesce(_MOST_TASKS).mapInArrow(run, "chunk int, part int, seen binary, meant binary")
     out = np.zeros((2, TABLE, CLASSES))
     for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, seen binary, meant binary").collect():
         out[:, r.chunk * rows : (r.chunk + 1) * rows] = [np.frombuffer(x, np.float32).reshape(rows, CLASSES) for x in (r.seen, r.meant)]
@@ -188,81 +231,110 @@ def gradient(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the class model after one pass over the training texts, in ``rounds`` shards.
+    """Weights of the class model after one pass over the training texts, in ``rounds`` parts.
 
     They start from the classes' shares of the tokens.  A step follows the
     gradient, observed less expected count, on the scale of a log ratio.
     """
     weights = np.zeros((TABLE, CLASSES), np.float32)
-    always = _context(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))[0, 0]
+    always = _context(np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int32))[0, 0]
     weights[always] = np.log((shares + 1e-6) / (shares + 1e-6).sum())
     weights[always, REPEAT] = np.log(0.01)
     for k in range(rounds):
-        shard = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k)
-        seen, meant = gradient(shard, weights)
+        seen, meant = gradient(blocks, weights, k, rounds)
         step = np.log((seen + PRIOR) / (meant + PRIOR))
         weights += (RATE * np.clip(step, -3, 3)).astype(np.float32)
     return weights
 
 
-def score(blocks: DataFrame, counts: DataFrame, weights: np.ndarray, totals: dict[int, tuple[int, int]]) -> DataFrame:
-    """Scores of every text.  ``counts(block, places, known)`` are training counts by local word; ``totals`` by class are (tokens, words)."""
-    n_train, n_words = (sum(x[k] for x in totals.values()) for k in (0, 1))
-    sums = np.array([totals.get(c, (0, 0)) for c in range(CLASSES)], float).reshape(-1, 2)
+def counted(blocks: DataFrame, shards: int) -> DataFrame:
+    """``(block, shard, known, tokens, words)``: for each block and shard the training counts of the block's words there.
+
+    Rows with a null block have a shard's tokens and words by class instead.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            hashes, trained, classes = (_unpacked(row[c], row["n"], k) for c, k in (("hashes", np.uint64), ("trained", np.int32), ("classes", np.uint8)))
+            shard = _shard_of(hashes >> np.uint64(32), shards)
+            order = np.argsort(shard, kind="stable")
+            ordered = shard[order]
+            ends = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
+            for first, last in zip(ends, ends[1:]):
+                own, k = order[first:last], int(ordered[first])
+                packed = [pa.array([x[own].tobytes()], pa.binary()) for x in (hashes, trained, classes)]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]], pa.int64()), *packed], names=["shard", "block", "hashes", "trained", "classes"])
+
+    def add(group: pa.Table) -> pa.Table:
+        hashes, trained, classes = ([np.frombuffer(x, k) for x in group.column(c).to_pylist()] for c, k in (("hashes", np.uint64), ("trained", np.int32), ("classes", np.uint8)))
+        every, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate(trained), minlength=len(every)).astype(np.int64)
+        kind = np.concatenate(classes)[first]
+        tokens = np.bincount(kind, weights=n, minlength=CLASSES).astype(np.int64)
+        known = np.bincount(kind, weights=n > 0, minlength=CLASSES).astype(np.int64)
+        ends = np.cumsum([len(h) for h in hashes])[:-1]
+        out = [_packed(x) for x in np.split(n[back], ends)]
+        shard, blocks = group.column("shard")[0].as_py(), group.column("block").to_pylist()
+        return pa.table({
+            "block": pa.array([*blocks, None], pa.int64()), "shard": pa.array([shard] * (len(out) + 1), pa.int32()), "known": pa.array([*out, None], pa.binary()),
+            "tokens": pa.array([*[None] * len(out), tokens.tolist()], pa.list_(pa.int64())), "words": pa.array([*[None] * len(out), known.tolist()], pa.list_(pa.int64())),
+        })
+
+    sent = blocks.select("block", "n", "hashes", "trained", "classes").mapInArrow(send, "shard int, block long, hashes binary, trained binary, classes binary")
+    return sent.groupBy("shard").applyInArrow(add, "block long, shard int, known binary, tokens array<long>, words array<long>")
+
+
+def score(blocks: DataFrame, replies: DataFrame, weights: np.ndarray, totals: np.ndarray, shards: int) -> DataFrame:
+    """Scores of every text.  ``replies`` are those of ``counted``; ``totals`` by class are (tokens, words)."""
+    n_train, n_words = (int(x) for x in totals.sum(axis=0))
+    by_share = (totals[:, 0] + 0.5) / (totals[:, 0] + 0.5).sum()
     log10 = lambda c, n, v: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                b = _lists(batch, r)
-                c = np.zeros(len(b["hashes"]))
-                c[b["places"]] = b["known"]
-                starts, tokens = _starts(b["sizes"]), b["tokens"]
-                word_classes = b["classes"]
-                base = log10(c, n_train, n_words)
-                inside = (c + 0.5) / (sums[word_classes, 0] + 0.5 * (sums[word_classes, 1] + 1))
-                classes = word_classes[tokens]
-                places = _context(b["hashes"][tokens], classes, starts)
-                again = _repeats(tokens, starts)
-                whole = np.empty(len(tokens))
-                for at in range(0, len(tokens), _BATCH):
-                    own = slice(at, at + _BATCH)
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            b = Block(row)
+            shard = _shard_of(b.codes, shards)
+            order = np.argsort(shard, kind="stable")
+            c, ordered = np.zeros(row["n"]), shard[order]
+            for reply in row["replies"]:
+                own = order[np.searchsorted(ordered, reply["shard"]) : np.searchsorted(ordered, reply["shard"], "right")]
+                c[own] = _unpacked(reply["known"], len(own), np.int64)
+            base = log10(c, n_train, n_words)
+            inside = (c + 0.5) / (totals[b.classes, 0] + 0.5 * (totals[b.classes, 1] + 1))
+            whole = np.empty(len(b.tokens))
+            for part, tokens, place, back in _slices(b.tokens, _places_in_text(b.sizes)):
+                classes = b.classes[tokens]
+                places, again = _context(b.codes[tokens], classes, place)[back:], _repeats(tokens, place)[back:]
+                tokens, classes, place = tokens[back:], classes[back:], place[back:]
+                for k in range(0, len(tokens), _BATCH):
+                    own = slice(k, k + _BATCH)
                     p = _chances(weights, places[own])
-                    whole[own] = np.log10(p[np.arange(len(p)), classes[own]] * inside[tokens[own]] + np.where(again[own], p[:, REPEAT], 0) + np.where(_first(starts, own, len(p)), p[:, REPEAT] * inside[tokens[own]], 0))
-                add = lambda x: np.add.reduceat(x, starts)
-                ids = batch.column("doc_ids")[r].values
-                yield pa.RecordBatch.from_arrays(
-                    [ids, batch.column("held")[r].values, pa.array(b["sizes"], pa.int64()), pa.array(add((c > 0)[tokens].astype(np.int64)), pa.int64()), pa.array(np.full(len(ids), n_train), pa.int64()), pa.array(add(base[tokens])), pa.array(add(whole))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    wide = blocks.join(counts, "block").select("doc_ids", "held", "sizes", "tokens", "hashes", "classes", "places", "known")
-    return wide.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _first(starts: np.ndarray, own: slice, n: int) -> np.ndarray:
-    """Where a text begins there is nothing to repeat: that chance goes to the word itself by its class."""
-    out = np.zeros(n, bool)
-    here = starts[(starts >= own.start) & (starts < own.start + n)]
-    out[here - own.start] = True
-    return out
+                    # Where a text begins there is nothing to repeat: that chance goes to the words by class.
+                    by_class = p[np.arange(len(p)), classes[own]] + np.where(place[own] == 0, p[:, REPEAT] * by_share[classes[own]], 0)
+                    whole[part][own] = np.log10(by_class * inside[tokens[own]] + np.where(again[own], p[:, REPEAT], 0))
+            starts, tokens = _starts(b.sizes), b.tokens
+            add = lambda x: np.add.reduceat(x, starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.sizes), pa.array(add((c > 0)[tokens].astype(np.int64))), pa.array(np.full(len(b.ids), n_train)), pa.array(add(base[tokens])), pa.array(add(whole))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    light = blocks.select("block", "doc_ids", "held", "sizes", "n", "tokens", "codes", "classes")
+    own = replies.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("shard", "known")).alias("replies"))
+    return light.join(own, "block").drop("block").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
     blocks = materialize(encode(docs, text))
-    local = blocks.select("block", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("hashes") - 1).alias("place"), F.col("hashes"), F.col("classes"), F.col("trained"))).alias("w"))
-    local = local.select("block", "w.place", F.col("w.hashes").alias("hash"), F.col("w.classes").alias("class"), F.col("w.trained").alias("n"))
-    known = local.where("n > 0").groupBy("hash").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
-    known = materialize(known)
-    totals = {r["class"]: (r.tokens, r.words) for r in known.groupBy("class").agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).collect()}
-    joined = local.select("block", "place", "hash").join(known.select("hash", "n"), "hash")
-    counts = joined.groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("w"))
-    counts = blocks.select("block").join(counts, "block", "left")
-    none = F.array().cast("array<struct<place:int,n:bigint>>")
-    counts = counts.select("block", F.coalesce("w", none).alias("w")).select("block", F.col("w.place").alias("places"), F.col("w.n").alias("known"))
-    shares = np.array([totals.get(c, (0, 0))[0] for c in range(CLASSES)], float)
-    return score(blocks, counts, train(blocks, shares), totals)
+    entries = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, -(-entries // _SHARD))
+    replies = materialize(counted(blocks, shards))
+    by_class = replies.where("block IS NULL").select(F.posexplode(F.arrays_zip("tokens", "words")).alias("class", "x"))
+    totals = np.zeros((CLASSES, 2))
+    for r in by_class.groupBy("class").agg(F.sum("x.tokens").alias("tokens"), F.sum("x.words").alias("words")).collect():
+        totals[r["class"]] = r.tokens, r.words
+    return score(blocks, replies, train(blocks, totals[:, 0]), totals, shards)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
