@@ -125,8 +125,14 @@ class Value:
             return self.col
         if self.kind == BOOL:
             return self.truth
+        return self.dynamic_rank
+
+    @property
+    def dynamic_rank(self) -> Column:
+        """Null, the empty text, numbers, other text."""
         n = self.number
-        return F.when(self.text.isNotNull(), F.struct(n.isNull().alias("t"), F.coalesce(n, F.lit(0.0)).alias("n"), F.when(n.isNull(), self.text).otherwise("").alias("s")))
+        kind = F.when(self.text == "", 0).when(n.isNotNull(), 1).otherwise(2)
+        return F.when(~self.is_null, F.struct(kind.alias("t"), F.coalesce(n, F.lit(0.0)).alias("n"), F.when(n.isNull(), self.text).otherwise("").alias("s")))
 
     @property
     def key(self) -> Column:
@@ -189,10 +195,17 @@ def _moment(v: Value) -> datetime | None:
     return None
 
 
+def _plain(x: Value, other: Value) -> Column:
+    """A number beside another: a whole constant takes a whole column's type, or the scan could not use it."""
+    if x.literal is not None and other.integral and float(x.literal).is_integer() and abs(float(x.literal)) < 2**53:
+        return F.lit(int(float(x.literal)))
+    return x.number if x.literal is not None or x.kind == BOOL else x.col
+
+
 def _paired(a: Value, b: Value) -> tuple[Column, Column] | None:
     """Both as plain columns of one type, where no value decides how they compare."""
     if a.kind == b.kind == NUM:
-        return a.col, b.col
+        return _plain(a, b), _plain(b, a)
     if a.kind == b.kind == TIME:
         return a.col, b.col
     if TIME in (a.kind, b.kind):  # move the constant to the column's type, or the scan cannot use it
@@ -206,7 +219,7 @@ def _paired(a: Value, b: Value) -> tuple[Column, Column] | None:
     if NUM in (a.kind, b.kind):
         other = b if a.kind == NUM else a
         if other.literal is not None and is_number(other.literal) or other.kind == BOOL:
-            return a.number, b.number
+            return _plain(a, b), _plain(b, a)
     return None
 
 

@@ -23,7 +23,7 @@ from tessera.plans.parser import parse_expression
 from tessera.plans.render import render, render_select
 from tessera.plans.scope import Column as Named
 from tessera.plans.scope import Scope, TableScope
-from tessera.sources.base import ORDER, Column, Store, auto_place, place, without_auto
+from tessera.sources.base import ORDER, Column, Store, Table, auto_place, place, without_auto
 
 
 class Changes:
@@ -43,6 +43,13 @@ class Changes:
         if not self.store.has_table(table):
             raise SqlError(f"Table does not exist: {table.name}")
 
+    def _to_change(self, table: n.Relation) -> Table:
+        self._only_table(table)
+        found = self.store.read(table)
+        if not found.dynamic:
+            raise SqlError(f"Tables with types are read-only: {table.name}")
+        return found
+
     # Values without a row.
 
     def _text(self, e: n.Expr) -> str | None:
@@ -87,10 +94,7 @@ class Changes:
         return 0, f"Dropped table '{s.target.name}'"
 
     def _altertable(self, s: n.AlterTable) -> tuple[int, str]:
-        self._only_table(s.table)
-        table = self.store.read(s.table)
-        if not table.dynamic:
-            raise SqlError(f"Tables with types are read-only: {s.table.name}")
+        table = self._to_change(s.table)
         columns, df = list(table.columns), table.df
         names = [c.name for c in columns]
         if s.action == "add":
@@ -162,8 +166,7 @@ class Changes:
         return 1, f"Inserted 1 row into '{s.table.name}'"
 
     def _update(self, s: n.Update) -> tuple[int, str]:
-        self._only_table(s.table)
-        table = self.store.read(s.table)
+        table = self._to_change(s.table)
         places = [place(table.columns, c) for c, _ in s.assignments]
         hit = self._row_value(s.table, table.columns, s.where).truth if s.where else F.lit(True)
         df = table.df.withColumn("_hit", hit)
@@ -177,8 +180,7 @@ class Changes:
         return affected, f"Updated {affected} row(s) in '{s.table.name}'"
 
     def _delete(self, s: n.Delete) -> tuple[int, str]:
-        self._only_table(s.table)
-        table = self.store.read(s.table)
+        table = self._to_change(s.table)
         hit = self._row_value(s.table, table.columns, s.where).truth if s.where else F.lit(True)
         affected = table.df.where(hit).count()
         if affected:

@@ -146,12 +146,7 @@ def ranks(a: Value, b: Value) -> tuple[Column, Column]:
     """Columns that order as the values do; null for null."""
     if _same(a, b):
         return (a.output, b.output) if a.kind != v.NUM else (a.number, b.number)
-
-    def rank(x: Value) -> Column:
-        n = x.number
-        return F.when(~x.is_null, F.struct(n.isNull().alias("t"), F.coalesce(n, F.lit(0.0)).alias("n"), F.when(n.isNull(), x.text).otherwise("").alias("s")))
-
-    return rank(a), rank(b)
+    return a.dynamic_rank, b.dynamic_rank
 
 
 def conjuncts(e: Expr | None) -> list[Expr]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.errors import SqlError
+from tessera.errors import SqlError, reason
 from tessera.operators.changes import Changes
 from tessera.operators.select import Planner, sorted_rows
 from tessera.plans.nodes import Select, Statement
@@ -57,8 +58,8 @@ class Session:
                 return Result(True, kind, df=sorted_rows(Planner(self.store).select(statement)))
             changed, text = Changes(self.spark, self.store).run(statement)
             return Result(True, kind, text, changed)
-        except (SqlError, PySparkException, OSError) as e:
-            return Result(False, kind, error=str(e))
+        except (SqlError, PySparkException, Py4JError, OSError) as e:
+            return Result(False, kind, error=reason(e))
 
     def sql(self, text: str) -> Result:
         """Parse and run; a text that cannot be parsed raises, a statement that fails says so in its result."""

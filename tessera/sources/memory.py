@@ -81,7 +81,7 @@ class MemoryStore(Store):
             if len(rows) <= LOCAL_ROWS:
                 held.rows = [list(r[:-1]) for r in rows]
             else:
-                held.df = rewritten(df.select(*names, ORDER))
+                held.df = rewritten(df.select(*names, ORDER).orderBy(ORDER).withColumn(ORDER, F.monotonically_increasing_id()))
         self.tables[table.name] = held
         return None
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.errors import SqlError, reason
 from tessera.functions.values import number_text
 
 NULL_TEXT = "NULL"
@@ -36,7 +39,10 @@ class RowStream:
     def __iter__(self) -> Iterator[tuple[str, ...]]:
         plain = self.df.toDF(*[f"c{k}" for k in range(len(self.df.columns))])
         texts = plain.select(*[F.coalesce(_shown(F.col(f.name), f.dataType), F.lit(NULL_TEXT)).alias(f.name) for f in plain.schema])
-        return map(tuple, texts.toLocalIterator(prefetchPartitions=self.prefetch))
+        try:
+            yield from map(tuple, texts.toLocalIterator(prefetchPartitions=self.prefetch))
+        except (PySparkException, Py4JError) as e:
+            raise SqlError(reason(e)) from e
 
 
 def drive(rows: Iterator, consumer: Callable[[object], bool]) -> int:
