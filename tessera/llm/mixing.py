@@ -7,10 +7,11 @@ whole subtree cannot use goes up to the siblings of an ancestor.  A leaf can
 use its tokens ``max_epochs`` times.  It takes whole epochs, and from the next
 epoch's order, seeded by that epoch, the prefix that fits the rest.
 
-Every step is a DataFrame function.  Documents of a leaf are summed by a slice
-of their seeded key before anything is ordered, so a leaf with a third of all
-rows costs 4,096 sums, and only the one slice that the prefix ends in is
-sorted.  All arithmetic is in whole numbers.
+Every step is a DataFrame function.  Documents of a leaf are summed by the
+first digits of their seeded key before anything is ordered; the slice that
+the prefix ends in is summed by the next digits, and so on, so a leaf with a
+third of all rows costs 256 sums at each of ``LEVELS`` levels, and only a
+slice of one in 16 million is sorted.  All arithmetic is in whole numbers.
 
 Nulls: a null language, source or text is the empty string, a null id the
 empty key.  Rows with equal ids in a leaf have equal keys and are taken
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,7 +34,8 @@ from tessera.llm.common import materialize, table
 LEAF = ["domain", "language", "origin"]
 #: Leaves up to this number travel to every task; more are joined by shuffle.
 BROADCAST_LEAVES = 20_000
-SLICE_DIGITS = 3
+#: Hexadecimal digits of the key at each level, and levels before the rest is ordered.
+SLICE_DIGITS, LEVELS = 2, 3
 
 
 @dataclass(frozen=True)
@@ -124,23 +127,31 @@ def plan(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
     leaves = materialize(budgets(light.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), mix))
     leaves = leaves.withColumn("whole", F.expr("coalesce(target div nullif(tokens, 0), 0)"))
     leaves = leaves.withColumn("rest", F.col("target") - F.col("whole") * F.col("tokens"))
-    keyed = light.join(_small(leaves.where("rest > 0").select(*LEAF, "whole", "rest"), leaves), LEAF).withColumn("key", _key(F.col("whole"), mix.seed))
-    keyed = keyed.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
-    slices = keyed.groupBy(*LEAF, "slice", "rest").agg(F.sum("n_tokens").alias("n"), F.max("key").alias("top"))
-    slices = slices.withColumn("upto", F.sum("n").over(W.partitionBy(*LEAF).orderBy("slice").rowsBetween(W.unboundedPreceding, 0)))
-    slices = materialize(slices)
-    below = slices.where("upto <= rest").groupBy(*LEAF).agg(F.max("top").alias("last_whole"))
-    cut = slices.where("upto > rest AND upto - n <= rest").select(*LEAF, "slice", (F.col("rest") - F.col("upto") + F.col("n")).alias("room"))
-    inside = keyed.select(*LEAF, "slice", "key", "n_tokens").join(_small(cut, leaves), [*LEAF, "slice"])
-    inside = inside.withColumn("sum", F.sum("n_tokens").over(W.partitionBy(*LEAF).orderBy("key")))
-    inside = inside.where("sum <= room").groupBy(*LEAF).agg(F.max("key").alias("last_in"))
-    ended = leaves.join(below, LEAF, "left").join(inside, LEAF, "left")
-    return ended.select(*LEAF, "tokens", "target", "whole", F.greatest("last_whole", "last_in").alias("last"))
+    few = _is_small(leaves)
+    # Of each leaf: the digits of the slice that its prefix ends in, and the tokens left there.
+    state = leaves.where("rest > 0").select(*LEAF, "whole", F.lit("").alias("digits"), F.col("rest").alias("room"))
+    ended = []
+    for level in range(1, LEVELS + 1):
+        keyed = _inside(light, state, few, mix).withColumn("slice", F.substring("key", 1, SLICE_DIGITS * level))
+        slices = keyed.groupBy(*LEAF, "whole", "room", "slice").agg(F.sum("n_tokens").alias("n"), F.max("key").alias("top"))
+        slices = materialize(slices.withColumn("upto", F.sum("n").over(W.partitionBy(*LEAF).orderBy("slice").rowsBetween(W.unboundedPreceding, 0))))
+        ended.append(slices.where("upto <= room").select(*LEAF, F.col("top").alias("last")))
+        cut = slices.where("upto > room AND upto - n <= room")
+        state = cut.select(*LEAF, "whole", F.col("slice").alias("digits"), (F.col("room") - F.col("upto") + F.col("n")).alias("room"))
+    inside = _inside(light, state, few, mix).withColumn("sum", F.sum("n_tokens").over(W.partitionBy(*LEAF).orderBy("key")))
+    ended.append(inside.where("sum <= room").select(*LEAF, F.col("key").alias("last")))
+    last = reduce(DataFrame.union, ended).groupBy(*LEAF).agg(F.max("last").alias("last"))
+    return leaves.join(last, LEAF, "left").select(*LEAF, "tokens", "target", "whole", "last")
 
 
-def _small(df: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``df``, of at most one row for each leaf, sent to every task if the leaves are few."""
-    return F.broadcast(df) if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else df
+def _inside(light: DataFrame, state: DataFrame, few: bool, mix: Mix) -> DataFrame:
+    """Documents, with their keys, of the slices in ``state``."""
+    keyed = light.join(F.broadcast(state) if few else state, LEAF).withColumn("key", _key(F.col("whole"), mix.seed))
+    return keyed.where(F.startswith("key", "digits"))
+
+
+def _is_small(leaves: DataFrame) -> bool:
+    return leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
 
 
 def mixed(docs: DataFrame, mix: Mix = PRODUCTION, text: str = "text") -> DataFrame:
@@ -152,7 +163,7 @@ def mixed(docs: DataFrame, mix: Mix = PRODUCTION, text: str = "text") -> DataFra
     packed = docs.select("doc_id", F.col(text).alias("text"), "lang", "source", F.struct(*kept).alias("row"))
     leaves = materialize(plan(packed, mix, "text"))
     cut = leaves.select(*LEAF, "whole", "last")
-    out = _leaf_columns(packed, mix, "text").join(_small(cut, cut), LEAF)
+    out = _leaf_columns(packed, mix, "text").join(F.broadcast(cut) if _is_small(cut) else cut, LEAF)
     used = F.col("whole") + F.coalesce((_key(F.col("whole"), mix.seed) <= F.col("last")).cast("long"), F.lit(0))
     return out.withColumn("epochs", used).where("epochs > 0").select("row.*", "domain", "n_tokens", "epochs")
 
