@@ -135,7 +135,8 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     named = docs.where("doc_id IS NOT NULL")
     keep = materialize(near_duplicates(docs, text).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = named.join(keep.select("doc_id"), "doc_id", "left_semi")
+    # The ids to keep grow with the corpus, so they are merged, not broadcast, at every size.
+    kept = named.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if keep.where("n > 1").limit(1).count():
         again = keep.where("n > 1").select("doc_id")
         rest = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), text).alias("row"))
