@@ -13,7 +13,7 @@ any case (a filter); ``Value.truth`` never is.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -52,19 +52,26 @@ def number_text(x: Column) -> Column:
 
 @dataclass(frozen=True)
 class Value:
-    """An expression of one kind.  ``literal`` is the text of a constant; ``integral`` marks whole-number columns."""
+    """An expression of one kind.
+
+    ``literal`` is the text of a constant; ``integral`` marks whole-number
+    columns; ``compound`` is more than a column or constant, ``query`` has a
+    subquery inside.
+    """
 
     kind: str
     col: Column
     literal: str | None = None
     integral: bool = False
+    compound: bool = False
+    query: bool = False
 
     @property
     def text(self) -> Column:
         if self.literal is not None:
             return F.lit(self.literal)
         if self.kind == NUM:
-            return self.col.cast("string") if self.integral else number_text(self.col.cast("double"))
+            return self.col.cast("string") if self.integral else bound(lambda x: number_text(x.col.cast("double")), self)
         if self.kind == BOOL:
             return F.when(self.truth, "1").otherwise("0")
         if self.kind == TIME:
@@ -82,16 +89,20 @@ class Value:
             return F.lit(None).cast("double")
         if self.literal is not None:
             return F.lit(float(self.literal) if is_number(self.literal) else None).cast("double")
-        return number_of(self.text)
+        return bound(lambda x: number_of(x.text), self)
 
     @property
     def operand(self) -> Column:
         """The value for arithmetic: a numeric start counts, any other text is an error, null stays null."""
         if self.kind in (NUM, BOOL, NULL):
             return self.number
-        start = F.regexp_extract(self.text, PREFIX, 1)
-        bad = F.raise_error(F.concat(F.lit("Not a number: "), self.text)).cast("double")
-        return F.when(self.text.isNotNull(), F.coalesce(self.number, F.when(start != "", start.try_cast("double")), bad))
+
+        def read(x: Value) -> Column:
+            start = F.regexp_extract(x.text, PREFIX, 1)
+            bad = F.raise_error(F.concat(F.lit("Not a number: "), x.text)).cast("double")
+            return F.when(x.text.isNotNull(), F.coalesce(x.number, F.when(start != "", start.try_cast("double")), bad))
+
+        return bound(read, self)
 
     @property
     def whole(self) -> Column:
@@ -105,10 +116,10 @@ class Value:
         if self.kind == BOOL:
             return self.col
         if self.kind == NUM:
-            return F.abs(self.col) > EPSILON
+            return F.abs(self.col) > EPSILON if self.integral else bound(lambda x: (F.abs(x.col) > EPSILON) & ~F.isnan(x.col), self)
         if self.kind == NULL:
             return F.lit(False)
-        return F.when(self.number.isNotNull(), F.abs(self.number) > EPSILON).otherwise(~self.text.isin("", "0", "false", "FALSE"))
+        return bound(lambda x: F.when(x.number.isNotNull(), F.abs(x.number) > EPSILON).otherwise(~x.text.isin("", "0", "false", "FALSE")), self)
 
     @property
     def truth(self) -> Column:
@@ -116,7 +127,8 @@ class Value:
 
     @property
     def is_null(self) -> Column:
-        return F.lit(True) if self.kind == NULL else F.lit(False) if self.literal is not None else self.col.isNull()
+        never = self.literal is not None or self.kind == BOOL and self.compound  # what an operator answers is 1 or 0
+        return F.lit(True) if self.kind == NULL else F.lit(False) if never else self.col.isNull()
 
     @property
     def rank(self) -> Column:
@@ -130,14 +142,18 @@ class Value:
     @property
     def dynamic_rank(self) -> Column:
         """Null, the empty text, numbers, other text."""
-        n = self.number
-        kind = F.when(self.text == "", 0).when(n.isNotNull(), 1).otherwise(2)
-        return F.when(~self.is_null, F.struct(kind.alias("t"), F.coalesce(n, F.lit(0.0)).alias("n"), F.when(n.isNull(), self.text).otherwise("").alias("s")))
+
+        def rank(x: Value) -> Column:
+            n = x.number
+            kind = F.when(x.text == "", 0).when(n.isNotNull(), 1).otherwise(2)
+            return F.when(~x.is_null, F.struct(kind.alias("t"), F.coalesce(n, F.lit(0.0)).alias("n"), F.when(n.isNull(), x.text).otherwise("").alias("s")))
+
+        return bound(rank, self)
 
     @property
     def key(self) -> Column:
         """Equal texts for equal values, so that equality of ``DYN`` values can be hashed."""
-        return F.coalesce(self.number.cast("string"), self.text)
+        return bound(lambda x: F.coalesce(x.number.cast("string"), x.text), self)
 
     @property
     def output(self) -> Column:
@@ -151,6 +167,23 @@ class Value:
         return self.col
 
 
+def bound(build: Callable[..., Column], *values: Value) -> Column:
+    """``build`` of the values, each computed once however often ``build`` names it.
+
+    Without this a nested expression over dynamic values would double at every
+    level.  Columns and constants cost nothing to repeat and keep generated
+    code.  Spark allows no subquery in a lambda, and runs a repeated one once.
+    """
+    if any(x.query for x in values):
+        return build(*values)
+    names = [f"v{k}" if x.compound and x.literal is None and x.kind != NULL else None for k, x in enumerate(values)]
+    if not any(names):
+        return build(*values)
+    row = F.struct(*[x.col.alias(n) for n, x in zip(names, values) if n])
+    inside = lambda r: build(*[replace(x, col=r[n], compound=False) if n else x for n, x in zip(names, values)])
+    return F.transform(F.array(row), inside)[0]
+
+
 def literal(text: str, quoted: bool) -> Value:
     if not quoted and is_number(text):
         return Value(NUM, F.lit(float(text)), text)
@@ -226,73 +259,86 @@ def _paired(a: Value, b: Value) -> tuple[Column, Column] | None:
 def compare(op: str, a: Value, b: Value) -> Value:
     """A comparison; null on either side makes it false."""
     if NULL in (a.kind, b.kind):
-        return Value(BOOL, F.lit(False))
+        return Value(BOOL, F.lit(False), compound=True)
     pair = _paired(a, b)
+    if pair:
+        same = pair[0] == pair[1]
+        return Value(BOOL, same if op == "=" else ~same if op == "!=" else _ORDER[op](*pair), compound=True)
     if op in ("=", "!="):
-        if pair:
-            same = pair[0] == pair[1]
-        elif NUM in (a.kind, b.kind) or BOOL in (a.kind, b.kind):
-            same = F.when(a.number.isNotNull() & b.number.isNotNull(), F.abs(a.number - b.number) < EPSILON).otherwise(a.text == b.text)
+        if NUM in (a.kind, b.kind) or BOOL in (a.kind, b.kind):
+            same = bound(lambda x, y: F.when(x.number.isNotNull() & y.number.isNotNull(), F.abs(x.number - y.number) < EPSILON).otherwise(x.text == y.text), a, b)
         else:
             same = a.key == b.key
-        return Value(BOOL, same if op == "=" else ~same)
-    if pair:
-        return Value(BOOL, _ORDER[op](*pair))
-    return Value(BOOL, F.when(a.number.isNotNull() & b.number.isNotNull(), _ORDER[op](a.number, b.number)).otherwise(_ORDER[op](a.text, b.text)))
+        return Value(BOOL, same if op == "=" else ~same, compound=True)
+    by_kind = lambda x, y: F.when(x.number.isNotNull() & y.number.isNotNull(), _ORDER[op](x.number, y.number)).otherwise(_ORDER[op](x.text, y.text))
+    return Value(BOOL, bound(by_kind, a, b), compound=True)
+
+
+def _divided(a: Value, b: Value) -> Column:
+    def quotient(x: Value, y: Value) -> Column:
+        infinite = F.when(x.col > 0, float("inf")).when(x.col < 0, float("-inf")).otherwise(float("nan"))
+        return F.when(x.col.isNotNull() & (y.col == 0), infinite).otherwise(x.col / F.when(y.col != 0, y.col))
 
+    return bound(quotient, *(Value(NUM, x.operand, compound=x.compound or x.kind != NUM, query=x.query) for x in (a, b)))
 
-def _divided(a: Column, b: Column) -> Column:
-    infinite = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
-    return F.when(a.isNotNull() & (b == 0), infinite).otherwise(a / F.when(b != 0, b))
+
+def _sum_or_text(x: Value, y: Value) -> Column:
+    return F.when(x.number.isNotNull() & y.number.isNotNull(), number_text(x.number + y.number)).otherwise(F.concat(x.text, y.text))
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     if op == "+":
-        if a.kind == b.kind == NUM or {a.kind, b.kind} <= {NUM, BOOL}:
-            return Value(NUM, a.number + b.number)
-        both = a.number.isNotNull() & b.number.isNotNull()
+        if {a.kind, b.kind} <= {NUM, BOOL}:
+            return Value(NUM, a.number + b.number, compound=True)
         if TEXT in (a.kind, b.kind) or TIME in (a.kind, b.kind):
-            return Value(TEXT if DYN not in (a.kind, b.kind) else DYN, F.concat(a.text, b.text))
-        return Value(DYN, F.when(both, number_text(a.number + b.number)).otherwise(F.concat(a.text, b.text)))
+            return Value(TEXT if DYN not in (a.kind, b.kind) else DYN, F.concat(a.text, b.text), compound=True)
+        return Value(DYN, bound(_sum_or_text, a, b), compound=True)
     if op in ("-", "*", "/"):
-        x, y = a.operand, b.operand
-        return Value(NUM, x - y if op == "-" else x * y if op == "*" else _divided(x, y))
+        return Value(NUM, a.operand - b.operand if op == "-" else a.operand * b.operand if op == "*" else _divided(a, b), compound=True)
     x, y = a.whole, b.whole
-    out = {"%": lambda: x % F.when(y != 0, y), "&": lambda: x.bitwiseAND(y), "|": lambda: x.bitwiseOR(y), "^": lambda: x.bitwiseXOR(y)}[op]()
-    return Value(NUM, out, integral=True)
+    if op == "%":
+        out = bound(lambda m, n: m.col % F.when(n.col != 0, n.col), Value(NUM, x, query=a.query), Value(NUM, y, compound=b.compound or b.kind != NUM, query=b.query))
+    else:
+        out = {"&": x.bitwiseAND, "|": x.bitwiseOR, "^": x.bitwiseXOR}[op](y)
+    return Value(NUM, out, integral=True, compound=True)
 
 
 def unary(op: str, a: Value) -> Value:
     if op == "!":
-        return Value(BOOL, ~a.truth)
+        return Value(BOOL, ~a.truth, compound=True)
     if op == "~":
-        return Value(NUM, F.bitwise_not(a.whole), integral=True)
-    return Value(NUM, -a.operand if op == "-" else a.operand)
+        return Value(NUM, F.bitwise_not(a.whole), integral=True, compound=True)
+    return Value(NUM, -a.operand if op == "-" else a.operand, compound=True)
 
 
 def matches(op: str, a: Value, b: Value) -> Value:
     """LIKE, where only ``%`` and ``_`` are special, and REGEXP, found anywhere in the text."""
     if NULL in (a.kind, b.kind):
-        return Value(BOOL, F.lit(False))
+        return Value(BOOL, F.lit(False), compound=True)
     if op == "REGEXP":
-        return Value(BOOL, F.regexp_like(a.text, b.text))
+        return Value(BOOL, F.regexp_like(a.text, b.text), compound=True)
     if b.literal is not None:
-        return Value(BOOL, a.text.like(b.literal.replace("\\", "\\\\")))
-    return Value(BOOL, F.like(a.text, F.replace(b.text, F.lit("\\"), F.lit("\\\\"))))
+        return Value(BOOL, a.text.like(b.literal.replace("\\", "\\\\")), compound=True)
+    return Value(BOOL, F.like(a.text, F.replace(b.text, F.lit("\\"), F.lit("\\\\"))), compound=True)
 
 
 def listed(op: str, a: Value, items: list[Value]) -> Value:
     """IN and NOT IN over a list; null items say nothing, a null left side is in neither."""
     items = [x for x in items if x.kind != NULL]
     if a.kind == NULL:
-        return Value(BOOL, F.lit(False))
+        return Value(BOOL, F.lit(False), compound=True)
     pairs = [_paired(a, x) for x in items]
     if items and all(pairs) and all(x.literal is not None for x in items):
         among = pairs[0][0].isin(*[p[1] for p in pairs])
     else:
-        among = F.lit(False)
-        for x in items:
-            among = among | compare("=", a, x).truth
+
+        def any_of(left: Value, *rest: Value) -> Column:
+            out = F.lit(False)
+            for x in rest:
+                out = out | compare("=", left, x).truth
+            return out
+
+        among = bound(any_of, a, *items)
     if op == "IN":
-        return Value(BOOL, among)
-    return Value(BOOL, ~a.is_null & ~F.coalesce(among, F.lit(False)))
+        return Value(BOOL, among, compound=True)
+    return Value(BOOL, ~a.is_null & ~F.coalesce(among, F.lit(False)), compound=True)

@@ -8,6 +8,7 @@ which answer ANY and ALL for every outer row.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ class Lowering:
         self.run, self.scope, self.strict, self.aggregates = run, scope, strict, aggregates
 
     def value(self, e: Expr) -> Value:
+        out = self._value(e)
+        return replace(out, query=True) if any(isinstance(x, (Subquery, Exists)) for x in walk(e)) else out
+
+    def _value(self, e: Expr) -> Value:
         match e:
             case Literal(text, quoted):
                 return v.literal(text, quoted)
@@ -52,7 +57,7 @@ class Lowering:
                 return scalar(self._single(select))
             case Exists(select):
                 found = self.run(select).df.limit(1).agg(F.count(F.lit(1)).alias("n"))
-                return Value(v.BOOL, found.scalar() > 0)
+                return Value(v.BOOL, found.scalar() > 0, compound=True)
             case Binary():
                 return self._binary(e)
             case Items():
@@ -74,7 +79,7 @@ class Lowering:
                 raise SqlError(f"Aggregate is not allowed here: {render(e)}")
             return found
         if e.name.upper() == "NOW" and not e.args and not e.star:
-            return Value(v.TEXT, F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+            return Value(v.TEXT, F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), compound=True)
         raise SqlError(f"Unsupported function: {e.name}")
 
     def _single(self, select: Select) -> Frame:
@@ -88,16 +93,16 @@ class Lowering:
         if e.quantifier:
             return self._quantified(e, left)
         if e.op in ("IS", "IS NOT"):
-            return Value(v.BOOL, left.is_null if e.op == "IS" else ~left.is_null)
+            return Value(v.BOOL, left.is_null if e.op == "IS" else ~left.is_null, compound=True)
         if e.op in ("IN", "NOT IN"):
             if isinstance(e.right, Subquery):
                 return self._among(e.op, left, self._single(e.right.select))
             return v.listed(e.op, left, [self.value(x) for x in e.right.items])
         right = self.value(e.right)
         if e.op == "&&":
-            return Value(v.BOOL, left.test & right.test)
+            return Value(v.BOOL, left.test & right.test, compound=True)
         if e.op == "||":
-            return Value(v.BOOL, left.test | right.test)
+            return Value(v.BOOL, left.test | right.test, compound=True)
         if e.op in ("LIKE", "REGEXP"):
             return v.matches(e.op, left, right)
         if e.op in ("=", "!=", "<", "<=", ">", ">="):
@@ -107,7 +112,7 @@ class Lowering:
     def _among(self, op: str, left: Value, frame: Frame) -> Value:
         mine, theirs = keys(left, frame.columns[0].value)
         found = F.coalesce(mine.isin(frame.df.select(theirs.alias("k")).where("k IS NOT NULL")), F.lit(False))
-        return Value(v.BOOL, ~left.is_null & (found if op == "IN" else ~found))
+        return Value(v.BOOL, ~left.is_null & (found if op == "IN" else ~found), compound=True)
 
     def _quantified(self, e: Binary, left: Value) -> Value:
         frame = self._single(e.right.select)
@@ -118,9 +123,9 @@ class Lowering:
         low, high = ends["low"], ends["high"]
         order = {"<": (Column.__lt__, high, low), "<=": (Column.__le__, high, low), ">": (Column.__gt__, low, high), ">=": (Column.__ge__, low, high)}
         if e.quantifier == "ANY":
-            return Value(v.BOOL, (low != x) | (high != x) if e.op == "!=" else order[e.op][0](x, order[e.op][1]))
+            return Value(v.BOOL, (low != x) | (high != x) if e.op == "!=" else order[e.op][0](x, order[e.op][1]), compound=True)
         holds = (low == x) & (high == x) if e.op == "=" else order[e.op][0](x, order[e.op][2])
-        return Value(v.BOOL, F.coalesce(holds, ~left.is_null))  # null ends: no rows, and ALL holds
+        return Value(v.BOOL, F.coalesce(holds, ~left.is_null), compound=True)  # null ends: no rows, and ALL holds
 
 
 def scalar(frame: Frame) -> Value:
@@ -128,7 +133,7 @@ def scalar(frame: Frame) -> Value:
     inner = frame.columns[0].value
     row = frame.df.select(F.struct(inner.output.alias("v")).alias("row")).scalar()
     found = F.coalesce(row, F.raise_error(F.lit("SELECT expression returned no rows")))["v"]
-    return Value(v.NUM if inner.kind == v.BOOL else v.DYN if inner.literal is not None and inner.kind != v.NUM else inner.kind, found, integral=inner.integral or inner.kind == v.BOOL)
+    return Value(v.NUM if inner.kind == v.BOOL else v.DYN if inner.literal is not None and inner.kind != v.NUM else inner.kind, found, integral=inner.integral or inner.kind == v.BOOL, compound=True)
 
 
 def _same(a: Value, b: Value) -> bool:
