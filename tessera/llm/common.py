@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions of this subpackage travel to executors whole, so those need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: Bytes that separate words wherever a contract speaks of ``[^\x20\x09-\x0D]+``.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 

@@ -113,6 +113,16 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.hashes, self.owners = h[order], o[order]
 
+    def state(self) -> tuple:
+        """What a broadcast carries: plain data, which executors read without this library."""
+        return self.least, self.vocabulary, self.items, self.hashes, self.owners
+
+    @classmethod
+    def restored(cls, state: tuple) -> Index:
+        out = cls.__new__(cls)
+        out.least, out.vocabulary, out.items, out.hashes, out.owners = state
+        return out
+
     def seeds(self, ids: np.ndarray) -> np.ndarray:
         """Rolling hashes of the windows of ``least`` words."""
         n, out = len(ids) - self.least + 1, None
@@ -185,10 +195,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     """One row for each document and benchmark item that it holds."""
     spark, out = docs.sparkSession, None
     for index in blocks(benchmark, least):
-        sent = spark.sparkContext.broadcast(index)
+        sent = spark.sparkContext.broadcast(index.state())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = Index.restored(sent.value)
             for batch in batches:
                 rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in index.held(t, threshold)]
                 cols = list(zip(*rows)) if rows else [()] * 6
@@ -205,11 +215,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """``docs`` without the rows that hold a benchmark item."""
     place = docs.columns.index("text")
     for index in blocks(benchmark, least):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        sent = docs.sparkSession.sparkContext.broadcast(index.state())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index.restored(sent.value)
             for batch in batches:
-                clean = [not sent.value.held(t, threshold) for t in batch.column(place).to_pylist()]
+                clean = [not index.held(t, threshold) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
