@@ -6,7 +6,7 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +65,18 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a batch that goes to Python: ten thousand long documents at once would not fit beside a task.
+BATCH_ROWS = 1000
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with the session's batches held to ``BATCH_ROWS`` rows."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` begins with it."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import in_arrow, table
 
 LEAST, THRESHOLD = 5, 0.6
 BLOCK_CHARS = 8_000_000
@@ -206,7 +206,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols[:5], cover, cols[5]], kinds)], names=["doc_id", "item_id", "tiles", "covered", "item_words", "coverage", "longest"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FOUND)
+        part = in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, _FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 clean = [not index.held(t, threshold) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs
 
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_of, materialize, table, words
+from tessera.llm.common import bucket_of, in_arrow, materialize, table, words
 
 CLASSES, FEATURES, BITS = 32, 7, 13
 TABLE = 1 << BITS
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
             yield block()
 
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 1, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), held_out.alias("held"), text).mapInArrow(run, _BLOCKS)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), held_out.alias("held"), text), run, _BLOCKS)
 
 
 class Block:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import in_arrow, table
 
 EXACT, LIKE, SHINGLE = 32, 128, 3
 LANES = EXACT + LIKE
@@ -208,7 +208,7 @@ def compared(docs: DataFrame, text: str = "text") -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return in_order(docs, text).mapInArrow(run, _OUT)
+    return in_arrow(in_order(docs, text), run, _OUT)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

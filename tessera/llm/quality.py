@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh, materialize, table
+from tessera.llm.common import fresh, in_arrow, materialize, table
 from tessera.llm.regression import fit_logistic
 
 SAMPLE = 20_000
@@ -84,7 +84,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts(texts: DataFrame) -> dict[int, np.ndarray]:
     """Counts of every bucket by label, of ``texts(label, text)``; at most ``BUCKETS`` rows a label reach the driver."""
     out: dict[int, np.ndarray] = {}
-    for r in texts.mapInArrow(_count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in in_arrow(texts, _count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r.label, np.zeros(BUCKETS))[r.bucket] = r.n
     return out
 
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
             x = np.array([features(t, ratio) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(3))], names=["label", "a", "b", "c"])
 
-    seen = chosen.select("label", "text").mapInArrow(measure, "label int, a double, b double, c double").toPandas().sort_values(["a", "b", "c", "label"])
+    seen = in_arrow(chosen.select("label", "text"), measure, "label int, a double, b double, c double").toPandas().sort_values(["a", "b", "c", "label"])
     return Model(ratio, fit_logistic(seen[["a", "b", "c"]].to_numpy(), seen["label"].to_numpy(float)))
 
 
@@ -181,7 +181,7 @@ def weighed(docs: DataFrame, model: Model, into: str) -> DataFrame:
             z = np.array([model.logit(t) for t in batch.column(place).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([pa.array(-np.logaddexp(0, -z)), *batch.columns], names=[into, *names])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(into, T.DoubleType()), *docs.schema.fields]))
+    return in_arrow(docs, run, T.StructType([T.StructField(into, T.DoubleType()), *docs.schema.fields]))
 
 
 def draw(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, float | None]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table, words
+from tessera.llm.common import in_arrow, materialize, table, words
 from tessera.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataF
             fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", into])
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, f"doc_id long, {into} long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), text), run, f"doc_id long, {into} long")
 
 
 def embedding(fp: Column) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_of, materialize, table
+from tessera.llm.common import bucket_of, in_arrow, materialize, table
 from tessera.llm.quality import labelled_sample
 from tessera.llm.regression import fit_logistic, sigmoid
 
@@ -179,9 +179,9 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         return run
 
     total = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    toxic = sample.where("label = 1").select("label", "text").mapInArrow(count(None), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    toxic = in_arrow(sample.where("label = 1").select("label", "text"), count(None), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     frequent = {r.entry: r.n for r in toxic.where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
-    others = sample.where("label = 0").select("label", "text").mapInArrow(count(set(frequent)), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    others = in_arrow(sample.where("label = 0").select("label", "text"), count(set(frequent)), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     also = {r.entry: r.n for r in others.collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     odds = {e: float(np.log((n + 0.5) / (bad + 1)) - np.log((also.get(e, 0) + 0.5) / (good + 1))) for e, n in frequent.items()}
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     names = [f"x{k}" for k in range(FEATURES + 1)]
     second = labelled_sample(docs, labels, "toxic", sample, part == 3).select("label", "text")
-    seen = second.mapInArrow(measure, "label int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values([*names, "label"])
+    seen = in_arrow(second, measure, "label int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values([*names, "label"])
     return Model(lexicon, fit_logistic(seen[names].to_numpy(), (seen["label"] == 1).to_numpy(float)))
 
 
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             p = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
