@@ -98,10 +98,25 @@ class FileStore(Store):
         if path is None:
             base = self._base(table)
             path = base if base.rsplit(".", 1)[-1] in FORMATS else f"{base}.{self.default}"
-        kind, names = self._format(path), [c.stored for c in columns]
+        kind = self._format(path)
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        new, auto, most = path + ".new", auto_place(columns), None
-        with open(new, "w", encoding="utf-8", newline="") as f:
+        new, auto = path + ".new", auto_place(columns)
+        try:
+            most = self._write(new, kind, columns, df)
+        except BaseException:
+            os.remove(new)
+            raise
+        os.replace(new, path)
+        for sidecar in (_JOURNAL, _COUNTER):
+            if os.path.exists(path + sidecar):
+                os.remove(path + sidecar)
+        if auto is not None:
+            self._count(path, (most or 0) + 1)
+
+    def _write(self, path: str, kind: Format, columns: Sequence[Column], df: DataFrame | None) -> int | None:
+        """Write a whole file; returns the greatest number of its AUTO_INCREMENT column."""
+        names, auto, most = [c.stored for c in columns], auto_place(columns), None
+        with open(path, "w", encoding="utf-8", newline="") as f:
             f.write(kind.opening(names))
             if df is not None:
                 values = F.array(*[F.coalesce(f"c{k}", F.lit(self.null_text)) for k in range(len(columns))])
@@ -116,12 +131,7 @@ class FileStore(Store):
             f.write(kind.closing(names))
             f.flush()
             os.fsync(f.fileno())
-        os.replace(new, path)
-        for sidecar in (_JOURNAL, _COUNTER):
-            if os.path.exists(path + sidecar):
-                os.remove(path + sidecar)
-        if auto is not None:
-            self._count(path, (most or 0) + 1)
+        return most
 
     def _count(self, path: str, number: int) -> None:
         with open(path + _COUNTER, "w", encoding="utf-8") as f:

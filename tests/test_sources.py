@@ -127,7 +127,7 @@ def test_an_interrupted_write_leaves_the_table(open_db, tmp_path):
     db("CREATE TABLE t (a)", "INSERT INTO t VALUES (1)")
     with pytest.raises(SqlError):
         db("UPDATE t SET a = 'x' * 2")
-    assert db("SELECT a FROM t") == [("1",)]
+    assert db("SELECT a FROM t") == [("1",)] and not [x for x in os.listdir(tmp_path) if x.endswith(".new")]
 
 
 def test_console(open_db):
