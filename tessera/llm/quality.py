@@ -148,27 +148,36 @@ def gumbel(doc_id: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(rows: DataFrame, key: str, k: int, bands: int = 4096) -> float | None:
-    """The ``k``-th largest of a column, by counting bands between approximate quantiles and ordering one band."""
-    if k <= 0:
+def kth_largest(rows: DataFrame, key: str, k: int, bands: int = 64, most: int = 10_000) -> float | None:
+    """The ``k``-th largest of a column, or the smallest if there are fewer.
+
+    Bands between approximate quantiles are counted, then the band that holds
+    it is divided again, until at most ``most`` rows are left to be ordered.
+    """
+    left, inside, n = k, rows, rows.count()
+    if k <= 0 or n == 0:
         return None
-    at = rows.agg(F.percentile_approx(key, [i / bands for i in range(1, bands)], 4 * bands)).first()[0]
-    if at is None:
-        return None
-    edges = sorted(set(at))
-    band = F.array_size(F.filter(F.array(*map(F.lit, edges[:: max(1, len(edges) // 64)])), lambda e: e <= F.col(key)))
-    sizes = {r.band: r["count"] for r in rows.groupBy(band.alias("band")).count().collect()}
-    seen = 0
-    for b in sorted(sizes, reverse=True):
-        if seen + sizes[b] >= k:
-            coarse = edges[:: max(1, len(edges) // 64)]
-            low, high = (coarse[b - 1] if b else None), (coarse[b] if b < len(coarse) else None)
-            inside = rows.where((F.col(key) >= low if low is not None else F.lit(True)) & (F.col(key) < high if high is not None else F.lit(True)))
-            grouped = inside.groupBy(key).count()
-            run = grouped.select(key, F.sum("count").over(W.orderBy(F.desc(key))).alias("upto"))
-            return run.where(F.col("upto") >= k - seen).agg(F.max(key)).first()[0]
-        seen += sizes[b]
-    return rows.agg(F.min(key)).first()[0]
+    left = min(k, n)
+    while n > most:
+        edges = sorted(set(inside.agg(F.percentile_approx(key, [i / bands for i in range(1, bands)], 100 * bands)).first()[0]))
+        band = F.array_size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(key)))
+        sizes = {r.band: r["count"] for r in inside.groupBy(band.alias("band")).count().collect()}
+        if len(sizes) == 1:
+            break  # few different values: they are counted below
+        for b in sorted(sizes, reverse=True):
+            if sizes[b] >= left:
+                break
+            left -= sizes[b]
+        inside, n = _between(inside, key, edges[b - 1] if b else None, edges[b] if b < len(edges) else None), sizes[b]
+    grouped = inside.groupBy(key).count()
+    run = grouped.select(key, F.sum("count").over(W.orderBy(F.desc(key))).alias("upto"))
+    return run.where(F.col("upto") >= left).agg(F.max(key)).first()[0]
+
+
+def _between(rows: DataFrame, key: str, low: float | None, high: float | None) -> DataFrame:
+    if low is not None:
+        rows = rows.where(F.col(key) >= low)
+    return rows if high is None else rows.where(F.col(key) < high)
 
 
 def weighed(docs: DataFrame, model: Model, into: str) -> DataFrame:
