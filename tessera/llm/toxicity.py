@@ -18,7 +18,7 @@ frequent in toxic texts.  Scoring reads every text whole and only its text.
 
 A null or empty text gets the score of a text without matches.  Repeated rows
 repeat results, further columns are ignored, an empty table gives none, and
-without labels the score is 0.5 of no evidence lowered to the label rate.
+without labels every score is ``UNTAUGHT``.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from tessera.llm.regression import fit_logistic, sigmoid
 SAMPLE, CANDIDATES = 20_000, 60_000
 STEM, LONGEST_STEM = 5, 10
 LEAST_SEEN, LEAST_ODDS = 3, 1.5
-THRESHOLD = 0.3
+THRESHOLD, UNTAUGHT = 0.3, 0.05
 #: Words that a state of the clause automaton outlives.
 REACH = 4
 
@@ -203,7 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     names = [f"x{k}" for k in range(FEATURES + 1)]
     second = labelled_sample(docs, labels, "toxic", sample, part == 3).select("label", "text")
     seen = in_arrow(second, measure, "label int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values([*names, "label"])
-    return Model(lexicon, fit_logistic(seen[names].to_numpy(), (seen["label"] == 1).to_numpy(float)))
+    curve = fit_logistic(seen[names].to_numpy(), (seen["label"] == 1).to_numpy(float))
+    if seen.empty:
+        curve[-1] = np.log(UNTAUGHT / (1 - UNTAUGHT))
+    return Model(lexicon, curve)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

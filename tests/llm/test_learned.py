@@ -73,7 +73,7 @@ def test_kth_largest(spark):
     values = [rng.choice([1.0, 2.0, rng.random()]) for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "key double")
     for k in (1, 2, 700, 1500, 2999, 3000, 4000):
-        assert quality.kth_largest(df, "key", k, 64) == sorted(values, reverse=True)[min(k, 3000) - 1]
+        assert quality.kth_largest(df, "key", k, 8, 20) == sorted(values, reverse=True)[min(k, 3000) - 1]
     assert quality.kth_largest(df, "key", 0) is None and quality.kth_largest(df.limit(0), "key", 3) is None
 
 
@@ -124,6 +124,11 @@ def test_toxicity_never_reads_other_columns_or_held_out_labels(spark, labelled):
     assert toxicity.scored(docs.limit(0), first).count() == 0
 
 
+def test_toxicity_without_labels(spark, make_docs):
+    model = toxicity.fit(make_docs([(1, "x y"), (2, None)]), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert [round(r.score, 6) for r in toxicity.scored(make_docs([(1, "x"), (2, None)]), model).collect()] == [0.05, 0.05]
+
+
 def tokens(text):
     import re
 
