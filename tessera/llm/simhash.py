@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_arrow, materialize, table, words
+from tessera.llm.common import fresh, in_arrow, materialize, table, words
 from tessera.llm.components import components
+from tessera.llm.nearcopies import LEAST, WIDTH, near_copies
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Members of a cell that are compared pair by pair; a fuller cell goes by neighbours.
@@ -128,20 +129,36 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return prints.join(named.join(ids, "root").select("fp", "component_id", "n_copies"), "fp", "left").select("doc_id", "fp", "component_id", "n_copies")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest id, and every row whose id is null.
+def keep_one(docs: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of its smallest id.
 
-    Of rows that repeat that id, the one of the smallest text stays.
+    Near copies have ``width``-word shingles of a Jaccard index of ``least`` or
+    more, directly or through others.  Of rows of a group that repeat that id the
+    one of the smallest text stays.  Rows with a null id are chosen among
+    themselves: of each group one of them stays too.
     """
-    named = docs.where("doc_id IS NOT NULL")
-    keep = materialize(near_duplicates(docs, text).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    # The ids to keep grow with the corpus, so they are merged, not broadcast, at every size.
-    kept = named.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if keep.where("n > 1").limit(1).count():
-        again = keep.where("n > 1").select("doc_id")
-        rest = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), text).alias("row"))
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(rest.select("row.*"))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    key = fresh(docs, "__text_key")
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    rows = materialize(near_copies(keyed, text, key, width, least))
+    least_ids = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
+    first = rows.join(least_ids, "root").where("doc_id IS NULL OR doc_id = least")
+    groups = first.groupBy("root", "doc_id").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    groups = materialize(groups)
+
+    def of(chosen: DataFrame, *more: str) -> DataFrame:
+        """Rows of ``docs`` with these ids and texts.  Both grow with the corpus, so they are merged, not broadcast, at every size."""
+        x, y = keyed.alias("x"), chosen.hint("merge").alias("y")
+        same = (F.col(f"x.{key}") == F.col("y.key")) & F.col("x.doc_id").cast("long").eqNullSafe(F.col("y.doc_id"))
+        return x.join(y, same, "inner").select(*[F.col(f"x.`{c}`") for c in docs.columns], *[F.col(f"y.{c}").alias(f"{key}_{c}") for c in more])
+
+    kept = of(groups.where("n = 1").select("doc_id", "key"))
+    if groups.where("n > 1").limit(1).count():
+        again = groups.where("n > 1").select("root", F.col("doc_id").alias("id"))
+        same = (rows["root"] == again["root"]) & rows["doc_id"].eqNullSafe(again["id"])
+        repeated = rows.join(again, same, "left_semi").distinct()
+        rest = of(repeated, "root").groupBy(f"{key}_root", "doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce(text, F.lit(""))).alias("row"))
+        kept = kept.unionByName(rest.select("row.*"))
+    return kept
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

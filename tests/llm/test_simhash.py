@@ -103,3 +103,23 @@ def test_keep_one(spark, make_docs, prose):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 2, 4, 9]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_drops_near_copies_and_keeps_others(spark, make_docs, prose):
+    """Planted pairs on both sides of 0.8, and a chain, against brute force."""
+    listed, want = [], []
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for k in range(60):
+        w = prose(k, 200).split()
+        changed = list(w)
+        for at in range(1 + k % 8):
+            changed[10 + 20 * at] = "zzz"
+        a, b = " ".join(w), " ".join(changed)
+        listed += [(2 * k, a), (2 * k + 1, b)]
+        both = len(sets(a) & sets(b))
+        want += [2 * k] if 5 * both >= 4 * len(sets(a) | sets(b)) else [2 * k, 2 * k + 1]
+    chain = prose(900, 200).split()
+    for k in range(40):  # more than a cell compares pair by pair elsewhere; the ends are unlike
+        listed.append((1000 + k, " ".join(chain[3 * k :] + prose(901, 120).split()[: 3 * k])))
+    assert len(want) not in (60, 120)
+    assert sorted(r.doc_id for r in simhash.keep_one(make_docs(listed)).collect()) == sorted([*want, 1000])
