@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -122,3 +123,13 @@ def test_digest_of_nothing(spark, make_docs, sf_dir):
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest() and row.spans == "" and row.n_email == 0
     empty = make_docs([(1, "x")]).limit(0)
     assert pii.find_pii(empty).count() == secrets.find_secrets(empty).count() == 0
+
+
+def test_masks_random_keys_of_letters_only(spark, make_docs):
+    rng = random.Random(12)
+    keys = ["".join(rng.choice(secrets.ALPHABET[:52]) for _ in range(16 + k % 16)) for k in range(400)]
+    names = [x for x in secrets.ordinary_samples(6000)[4000:] if len(x) >= 16 and not any(c.isdigit() for c in x)]
+    texts = [f"see {x} there" for x in keys + names]
+    kept = {r.doc_id: r.text for r in secrets.mask_secrets(make_docs(enumerate(texts))).select("doc_id", "text").collect()}
+    missed = sum(kept[k] == texts[k] for k in range(len(keys)))
+    assert missed <= 8 and all(kept[k] == texts[k] for k in range(len(keys), len(texts)))
