@@ -123,3 +123,13 @@ def test_keep_one_drops_near_copies_and_keeps_others(spark, make_docs, prose):
         listed.append((1000 + k, " ".join(chain[3 * k :] + prose(901, 120).split()[: 3 * k])))
     assert len(want) not in (60, 120)
     assert sorted(r.doc_id for r in simhash.keep_one(make_docs(listed)).collect()) == sorted([*want, 1000])
+
+
+def test_keep_one_picks_rows(spark, make_docs, prose):
+    a, b = prose(1, 50), prose(2, 50)
+    twice = simhash.keep_one(make_docs([(5, a), (5, b), (6, a), (7, b)])).collect()
+    assert sorted((r.doc_id, r.text) for r in twice) == sorted([(5, a), (5, b)])
+    blank = simhash.keep_one(make_docs([(4, None), (4, None)])).collect()
+    assert [(r.doc_id, r.text, r.n_chars) for r in blank] == [(4, None, 0)]
+    unnamed = simhash.keep_one(make_docs([(None, a), (None, a), (None, b)])).collect()
+    assert sorted(r.text for r in unnamed) == sorted([a, b])
