@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share.
+    """A fresh path in the folder that all executors share, under one folder of this application.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, local runs) a local folder is chosen.
+    The shared folder is the session's ``spark.checkpoint.dir``; only where that
+    is unset (tests, local runs) a local folder is chosen.  What is left in the
+    application's folder goes when the driver ends.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,43 +42,78 @@ def scratch_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
         root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/tessera-{sc.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_remove_at_exit, sc, own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+_OWN: set[str] = set()
+
+
+def _remove(sc, path: str) -> None:
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_at_exit(sc, path: str) -> None:
+    if sc._jsc is not None:  # still running
+        _remove(sc, path)
+
+
+def materialize(df: DataFrame, light: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it.
 
-    Unlike a local checkpoint the rows survive the loss of any executor.
+    Unlike a local checkpoint the rows survive the loss of any executor.  Of
+    ``light`` rows, that many tasks make a little of each, adaptive execution
+    makes a few files of its advised size.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_dir(df.sparkSession)
+    (df.hint("rebalance") if light else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the scratch files behind frames of ``materialize`` that no later plan reads."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/tessera-{sc.applicationId}/" in folder:
+                _remove(sc, folder)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the scratch files behind a frame of ``materialize`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tessera-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+#: Bytes and rows that a task turns into Python values at once.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 1000
 
 
-#: Rows of a batch that goes to Python: ten thousand long documents at once would not fit beside a task.
-BATCH_ROWS = 1000
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``PIECE_BYTES``, a single row at least: a batch of long texts need not become Python at once."""
+    for batch in batches:
+        n = min(PIECE_ROWS, max(1, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow``, with the session's batches held to ``BATCH_ROWS`` rows."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    """``df.mapInArrow`` over ``pieces``; Spark itself bounds the bytes of the batches that it sends."""
+    return df.mapInArrow(lambda batches: run(pieces(batches)), schema)
+
+
+#: A key with more than one in so many of all rows is joined by broadcast; there are fewer such keys than this.
+SHARE = 10_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, one row a key, whose column ``size`` has how many of all ``total`` rows the key has.
+
+    Keys that hold over one in ``SHARE`` of the rows go out in a broadcast that
+    this bounds, so no task gets all rows of a hot key; the others meet by shuffle.
+    """
+    hot = F.col(size) * SHARE > total
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(table.where(~hot), on))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -94,6 +133,37 @@ def words(text: str) -> list[bytes]:
     return ascii_lower(text).split()
 
 
+_BREAK = re.compile(f"[{WORD_BREAKS}]")
+#: Characters of a text that are words in memory at once; a text of fewer is one list.
+LIST_CHARS = 1 << 20
+
+
+def word_lists(text: str) -> Iterator[list[bytes]]:
+    """``words`` of a whole text, list after list, so that a very long one is never all objects at once."""
+    at = 0
+    while at < len(text):
+        end = at + LIST_CHARS
+        if end < len(text):
+            found = _BREAK.search(text, end)
+            end = found.start() if found else len(text)
+        yield words(text[at:end])
+        at = end
+
+
+def shingled(text: str, width: int) -> Iterator[list[bytes]]:
+    """The space-joined shingles of a text's words, list after list; fewer words than ``width`` are one shingle."""
+    last: list[bytes] = []
+    some = False
+    for w in word_lists(text):
+        w = last + w
+        if len(w) >= width:
+            some = True
+            yield list(map(b" ".join, zip(*(w[i:] for i in range(width)))))
+        last = w[max(0, len(w) - width + 1) :]
+    if last and not some:
+        yield [b" ".join(last)]
+
+
 def sql_lower(col: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize
+from tessera.llm.common import discard, materialize, split_join
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Every node links its larger neighbours to its smallest neighbour."""
+def _large(edges: DataFrame, n: int) -> DataFrame:
+    """Every node links its larger neighbours to its smallest neighbour; a hub of many edges is no single task's."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return split_join(both, least, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them; edges go from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    others = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    others = split_join(edges, least, ["u"], "n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -33,13 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges change nothing; no edges give an empty table.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    spark, seen = edges.sparkSession, None
+    seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
         seen, before = mark, now
-        now = materialize(_small(_large(now)))
-        discard(spark, before)
+        now = materialize(_small(_large(now, mark[0]), mark[0]))
+        discard(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.distinct())

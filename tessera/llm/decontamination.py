@@ -10,16 +10,20 @@ A document holds an item if its tiles cover ``THRESHOLD`` of the item's words.
 The benchmark is read in blocks of at most about ``BLOCK_CHARS`` characters,
 each sent to every task and run against all documents; a larger benchmark
 means more blocks, not larger ones.  Documents are never shuffled, and each is
-read whole.
+read whole, once for each block: a benchmark of ``n`` blocks costs ``n`` scans.
 
 Words are Unicode letters, digits and underscores, lower-cased; punctuation
 and spacing do not count.  A null or short text holds nothing, an item of
 fewer than ``LEAST`` words is too short to be evidence and is never found.
-Repeated rows give repeated results; empty tables give none.
+An item may have a null id.  Items of one text and different ids are found
+each; a repeated row of the benchmark counts once, a repeated row of documents
+repeats its results.  Empty tables give none.  Extra columns are ignored by
+``contaminations`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,7 +37,9 @@ from tessera.llm.common import in_arrow, table
 
 LEAST, THRESHOLD = 5, 0.6
 BLOCK_CHARS = 8_000_000
-_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+_BASE, _ALL = 1_000_003, (1 << 64) - 1
+#: Pairs of equal windows that are looked at together.
+_PAIRS = 1 << 18
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,55 +48,86 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def tiles(a: list[int], b: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Tiles ``(length, place in a, place in b)`` of greedy string tiling; negative words match nothing."""
-    free_a, free_b = bytearray(x >= 0 for x in a), bytearray(x >= 0 for x in b)
-    sums = []
-    for seq in (a, b):
-        at, out = 0, [0]
-        for x in seq:
-            at = (at * _BASE + x + 1) % _PRIME
-            out.append(at)
-        sums.append(out)
-
-    def windows(free: bytearray, h: list[int], s: int):
-        power, run = pow(_BASE, s, _PRIME), 0
-        for i, ok in enumerate(free):
-            run = run + 1 if ok else 0
-            if run >= s:
-                yield i + 1 - s, (h[i + 1] - h[i + 1 - s] * power) % _PRIME
-
-    def scan(s: int) -> tuple[int, list[tuple[int, int, int]]]:
-        places: dict[int, list[int]] = defaultdict(list)
-        for i, h in windows(free_a, sums[0], s):
-            places[h].append(i)
-        found, most = [], 0
-        for j, h in windows(free_b, sums[1], s):
-            for i in places.get(h, ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
-                    k += 1
-                if k > 2 * s:
-                    return k, []
-                if k >= s:
-                    most = max(most, k)
-                    found.append((k, i, j))
-        return most, found
+def _runs(free: np.ndarray, s: int) -> np.ndarray:
+    """Where ``s`` unmarked words begin."""
+    if len(free) < s:
+        return np.zeros(0, np.int64)
+    n = np.concatenate(([0], np.cumsum(free)))
+    return np.flatnonzero(n[s:] - n[:-s] == s)
+
+
+def _prefix(seq: np.ndarray) -> list[int]:
+    at, out = 0, [0]
+    for x in seq.tolist():
+        at = (at * _BASE + x + 1) & _ALL
+        out.append(at)
+    return out
+
 
+def _openings(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, sums: tuple[np.ndarray, np.ndarray], s: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places where equal hashes of ``s`` words begin a common run, a bounded number at once.
+
+    A pair that the pair before it extends to the left begins no run of its own:
+    repetitive texts have many equal windows and few such beginnings.
+    """
+    power = np.uint64(pow(_BASE, s, 1 << 64))
+    at_a, at_b = _runs(free_a, s), _runs(free_b, s)
+    ha, hb = (h[at + s] - h[at] * power for h, at in zip(sums, (at_a, at_b)))
+    order = np.argsort(ha, kind="stable")
+    at_a, ha = at_a[order], ha[order]
+    first, last = np.searchsorted(ha, hb), np.searchsorted(ha, hb, "right")
+    met = np.flatnonzero(last > first)
+    at_b, first, n = at_b[met], first[met], (last - first)[met]
+    upto = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _PAIRS, "right")))
+        k = n[start:stop]
+        within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        i, j = at_a[np.repeat(first[start:stop], k) + within], np.repeat(at_b[start:stop], k)
+        more = (i > 0) & (j > 0)
+        more[more] = free_a[i[more] - 1] & free_b[j[more] - 1] & (a[i[more] - 1] == b[j[more] - 1])
+        yield i[~more], j[~more]
+        start = stop
+
+
+def tiles(a: list[int], b: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Tiles ``(length, place in a, place in b)`` of greedy string tiling; negative words match nothing.
+
+    Of equally long matches that of the first place in ``a``, then in ``b``, is
+    marked.  A match that a longer tile cuts goes back in parts.
+    """
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    free_a, free_b = a >= 0, b >= 0
+    sums = tuple(np.array(_prefix(x), np.uint64) for x in (a, b))
     out, s = [], max(least, min(len(a), len(b), 32))
+    list_a, list_b = a.tolist(), b.tolist()
     while True:
-        most, found = scan(s)
-        if most > 2 * s:
+        heap, most = [], 0
+        open_a, open_b = free_a.tolist(), free_b.tolist()
+        for at_a, at_b in _openings(a, b, free_a, free_b, sums, s):
+            for i, j in zip(at_a.tolist(), at_b.tolist()):
+                k, end = 0, min(len(list_a) - i, len(list_b) - j)
+                while k < end and open_a[i + k] and open_b[j + k] and list_a[i + k] == list_b[j + k]:
+                    k += 1
+                most = max(most, k)
+                if k >= s:
+                    heap.append((-k, i, j))
+        if most > 2 * s:  # long matches first, by windows of their own length
             s = most
             continue
-        marked = False
-        for k, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_a[i : i + k]) and all(free_b[j : j + k]):
-                free_a[i : i + k] = free_b[j : j + k] = bytes(k)
-                out.append((k, i, j))
-                marked = True
-        if marked:
-            continue  # what a marked tile cut short may still be as long
+        heapq.heapify(heap)
+        while heap:
+            k, i, j = heapq.heappop(heap)
+            both = free_a[i : i - k] & free_b[j : j - k]
+            if both.all():
+                free_a[i : i - k] = free_b[j : j - k] = False
+                out.append((-k, i, j))
+                continue
+            edges = np.flatnonzero(np.diff(np.r_[False, both, False].astype(np.int8)))
+            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if y - x >= s:
+                    heapq.heappush(heap, (x - y, i + x, j + x))
         if s == least:
             return out
         s = max(least, s // 2)
@@ -174,8 +211,11 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, least: int = LEAST, most: int = BLOCK_CHARS) -> Iterator[Index]:
-    """Indexes of the benchmark's items, in blocks whose size is checked before they are collected."""
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    """Indexes of the benchmark's distinct items, in blocks whose size is checked before they are collected.
+
+    Items are dealt by a hash of id and text, and distinct, so that more blocks always part them.
+    """
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
     total, largest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
     n = max(1, -(-total // most))
     while n > 1:
@@ -185,7 +225,7 @@ def blocks(benchmark: DataFrame, least: int = LEAST, most: int = BLOCK_CHARS) ->
         n *= 2
     for k in range(n):
         rows = items.where(F.expr(f"pmod(xxhash64(item_id, text), {n}) = {k}")).collect()
-        yield Index(sorted((r.item_id, r.text) for r in rows), least)
+        yield Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least)
 
 
 _FOUND = "doc_id long, item_id long, tiles int, covered int, item_words int, coverage double, longest int"

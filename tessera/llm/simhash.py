@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, in_arrow, materialize, table, words
+from tessera.llm.common import discard, fresh, in_arrow, materialize, shingled, split_join, table
 from tessera.llm.components import components
 from tessera.llm.nearcopies import LEAST, WIDTH, near_copies
 
@@ -44,16 +44,13 @@ _PIECE = 1 << 16
 
 def fingerprint(text: str | None) -> int:
     """The signed 64-bit SimHash of a whole text."""
-    w = words(text or "")
-    if not w:
-        return 0
-    digest, ones, total = xxhash.xxh64_digest, np.zeros(64, np.int64), max(1, len(w) - SHINGLE + 1)
-    for at in range(0, total, _PIECE):
-        part = w[at : at + _PIECE + SHINGLE - 1]
-        rows = map(b" ".join, zip(part, part[1:], part[2:])) if total > 1 or len(w) == SHINGLE else [b" ".join(w)]
-        raw = np.frombuffer(b"".join([digest(s, SEED) for s in rows]), np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total).view(">i8")[0])
+    digest, ones, total = xxhash.xxh64_digest, np.zeros(64, np.int64), 0
+    for rows in shingled(text or "", SHINGLE):
+        for at in range(0, len(rows), _PIECE):
+            raw = np.frombuffer(b"".join([digest(s, SEED) for s in rows[at : at + _PIECE]]), np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+        total += len(rows)
+    return int(np.packbits(2 * ones > total).view(">i8")[0]) if total else 0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
@@ -95,11 +92,12 @@ def _near(pairs: DataFrame) -> DataFrame:
     return bound.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
-def links(prints: DataFrame, crowded: int = CROWDED, groups: int | None = None) -> DataFrame:
+def links(prints: DataFrame, crowded: int = CROWDED, groups: int | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """Edges ``(u, v)`` between distinct fingerprints that join all that are linked.
 
     ``prints(fp)`` are distinct.  Edges of a crowded cell lead to the smallest
-    member at a shared neighbour rather than to every partner.
+    member at a shared neighbour rather than to every partner.  ``held`` gets
+    the scratch tables that the edges are read from.
     """
     groups = groups or groups_for(prints.count())
     cell = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), embedding(F.col("fp")).bitwiseAND(F.lit(x)).alias("k")) for i, x in enumerate(masks(groups))]))
@@ -108,7 +106,10 @@ def links(prints: DataFrame, crowded: int = CROWDED, groups: int | None = None)
     cells = keyed.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
     cells = materialize(cells)
     twos = _near(cells.where("n = 2").select("u", "v"))
-    many = materialize(keyed.join(cells.where("n > 2").select("m", "k", "n"), ["m", "k"]))
+    crowds = cells.where("n > 2").select("m", "k", "n")
+    many = materialize(split_join(keyed, crowds, ["m", "k"], "n", prints.count() * len(masks(groups))))
+    if held is not None:
+        held += [cells, many]
     few = many.where(F.col("n") <= crowded)
     pairs = few.select("m", "k", F.col("fp").alias("u")).join(few.select("m", "k", F.col("fp").alias("v")), ["m", "k"]).where("u < v")
     full = many.where(F.col("n") > crowded).select("fp").distinct()
@@ -121,12 +122,15 @@ def links(prints: DataFrame, crowded: int = CROWDED, groups: int | None = None)
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id, n_copies)`` of every row."""
-    prints = materialize(fingerprints(docs, text))
+    prints = materialize(fingerprints(docs, text), light=True)
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")))
-    roots = components(links(distinct.select("fp")))
+    held: list[DataFrame] = []
+    roots = components(links(distinct.select("fp"), held=held))
+    discard(*held)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id", "n_copies"), "fp", "left").select("doc_id", "fp", "component_id", "n_copies")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = materialize(split_join(named, ids, ["root"], "n", distinct.count()).select("fp", "component_id", "n_copies"))
+    return split_join(prints, found, ["fp"], "n_copies", prints.count()).select("doc_id", "fp", "component_id", "n_copies")
 
 
 def keep_one(docs: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
