@@ -1,6 +1,7 @@
 """Connected components of a table of edges, by alternating large and small stars.
 
-Each round is two aggregations and two joins on node ids; nothing of the graph
+Each round is two aggregations and two joins on node ids, of which a hub's rows
+are split by adaptive execution (the other side has one row a node); nothing of the graph
 reaches the driver but a count and a checksum.  Rounds are written to the
 shared folder, so the plan stays short and lost executors cost one round.
 """
@@ -10,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize, split_join
+from tessera.llm.common import discard, materialize
 
 
-def _large(edges: DataFrame, n: int) -> DataFrame:
-    """Every node links its larger neighbours to its smallest neighbour; a hub of many edges is no single task's."""
+def _large(edges: DataFrame) -> DataFrame:
+    """Every node links its larger neighbours to its smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    return split_join(both, least, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame, n: int) -> DataFrame:
+def _small(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them; edges go from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    others = split_join(edges, least, ["u"], "n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    others = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen, before = mark, now
-        now = materialize(_small(_large(now, mark[0]), mark[0]))
+        now = materialize(_small(_large(now)))
         discard(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.distinct())
