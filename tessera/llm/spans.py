@@ -3,7 +3,8 @@
 Spark has no function that returns where a pattern matches.  Splitting a text
 by the pattern gives the gaps, extracting gives the matches, and the running
 sum of both lengths gives every position, all inside the JVM.  The second pass
-runs only where the first found something.
+runs only where the first found something.  Work grows with a text and its
+matches, and with the root of their number beyond that.
 
 Spans are structs ``(start, rank, kind, stop, hit, score)``: code points, end
 exclusive, sorting by start and then by the kind's place in its list.
@@ -21,7 +22,7 @@ from tessera.llm.common import fresh
 
 SPAN = "struct<start:int,rank:int,kind:string,stop:int,hit:string,score:int>"
 SPANS = f"array<{SPAN}>"
-_MATCH = "array<struct<start:int,stop:int,hit:string>>"
+_MATCH = "array<struct<start:int,stop:int,hit:string,place:int>>"
 
 
 @dataclass(frozen=True)
@@ -44,29 +45,67 @@ class Kind:
     edge: str = ""
 
 
+#: Arrays are built in parts of so many entries, each part anew, and the parts joined:
+#: an array that grows by one entry at a time is copied at every step.
+PART = 256
+
+
+def _parts(n: Column) -> Column:
+    """The numbers of the parts of an array of ``n`` entries, one at least."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / PART).cast("int"))
+
+
 def _positions(gaps: Column, hits: Column) -> Column:
+    """``(start, stop, hit, place)`` of every match."""
+    part = lambda items, c: F.slice(items, c * PART + 1, F.lit(PART))
+
+    def width(c):
+        return F.aggregate(part(gaps, c), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(part(hits, c), F.lit(0), lambda n, x: n + F.length(x))
+
     def step(acc, i):
         start = acc["at"] + F.length(gaps[i])
         stop = start + F.length(hits[i])
-        one = F.struct(start.alias("start"), stop.alias("stop"), hits[i].alias("hit"))
+        one = F.struct(start.alias("start"), stop.alias("stop"), hits[i].alias("hit"), i.alias("place"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCH).alias("out"))
-    every = F.sequence(F.lit(0), F.size(hits) - 1)
-    return F.when(F.size(hits) == 0, F.array().cast(_MATCH)).otherwise(F.aggregate(every, zero, step, lambda acc: acc["out"]))
+    def of_part(c, at):
+        places = F.sequence(c * PART, F.least(F.size(hits), (c + 1) * PART) - 1)
+        return F.aggregate(places, F.struct(at.alias("at"), F.array().cast(_MATCH).alias("out")), step, lambda acc: acc["out"])
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(_parts(F.size(hits)), zero, lambda acc, c: F.struct((acc["at"] + width(c)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    found = F.flatten(F.zip_with(_parts(F.size(hits)), starts, of_part))
+    return F.when(F.size(hits) == 0, F.array().cast(_MATCH)).otherwise(found)
+
+
+def _around(gaps: Column, hits: Column, place: Column, width: int) -> tuple[Column, Column]:
+    """Up to ``width`` code points before and after a match, from the gaps and matches beside it.
+
+    Matches are not empty, so no more than ``width`` of them reach in.
+    """
+    first, last = (lambda x: F.substring(x, 1, width)), (lambda x: F.substring(x, -width, width))
+    low, high = F.greatest(F.lit(0), place - width), F.least(F.size(hits) - 1, place + width)
+    earlier = F.when(place > 0, F.array_join(F.transform(F.sequence(low, place - 1), lambda j: F.concat(last(gaps[j]), last(hits[j]))), "")).otherwise("")
+    later = F.when(place < high, F.array_join(F.transform(F.sequence(place + 1, high), lambda j: F.concat(first(hits[j]), first(gaps[j + 1]))), "")).otherwise("")
+    before = F.when(F.length(gaps[place]) >= width, last(gaps[place])).otherwise(last(F.concat(earlier, gaps[place])))
+    after = F.when(F.length(gaps[place + 1]) >= width, first(gaps[place + 1])).otherwise(first(F.concat(gaps[place + 1], later)))
+    return before, after
 
 
-def _around(text: Column, start: Column, stop: Column, width: int) -> tuple[Column, Column]:
-    """Lower-cased code points before and after a span."""
-    first = F.greatest(F.lit(0), start - width)
-    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return lower(F.substring(text, first + 1, start - first)), lower(F.substring(text, stop + 1, F.lit(width)))
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _free(spans: Column, taken: Column, least: int) -> Column:
-    """Spans of enough score that overlap none of those taken."""
-    apart = lambda s: ~F.exists(taken, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return F.filter(spans, lambda s: (s["score"] >= least) & apart(s))
+    """Spans of enough score that overlap none of those taken; parts of them that lie elsewhere are passed over whole."""
+    in_order = F.array_sort(taken)
+    cut = F.transform(_parts(F.size(taken)), lambda c: F.slice(in_order, c * PART + 1, F.lit(PART)))
+    boxes = F.transform(cut, lambda x: F.struct(x.alias("items"), x[0]["start"].alias("low"), F.array_max(F.transform(x, lambda t: t["stop"])).alias("high")))
+    meets = lambda s, b: (b["low"] < s["stop"]) & (s["start"] < b["high"]) & F.exists(b["items"], lambda t: (t["start"] < s["stop"]) & (s["start"] < t["stop"]))
+    able = F.filter(spans, lambda s: s["score"] >= least)
+    both = F.array(F.struct(able.alias("s"), boxes.alias("b")))  # so that the boxes are made once
+    apart = F.flatten(F.transform(both, lambda x: F.filter(x["s"], lambda s: ~F.exists(x["b"], lambda b: meets(s, b)))))
+    return F.when(F.size(taken) == 0, able).otherwise(apart)
 
 
 def with_spans(docs: DataFrame, text: str, kinds: Sequence[Kind], into: str = "spans", width: int = 40) -> DataFrame:
@@ -88,19 +127,20 @@ def with_spans(docs: DataFrame, text: str, kinds: Sequence[Kind], into: str = "s
     })
 
     def spans_of(k: int, kind: Kind) -> Column:
+        gaps, hits = F.col(f"{p}gaps_{k}"), F.col(f"{p}hits_{k}")
+
         def edges_free(m):
             if not kind.edge:
                 return F.lit(True)
-            before = F.when(m["start"] > 0, F.substring(whole, m["start"], F.lit(1))).otherwise(F.lit(""))
-            after = F.substring(whole, m["stop"] + 1, F.lit(1))
+            before, after = _around(gaps, hits, m["place"], 1)
             return ~before.rlike(kind.edge) & ~after.rlike(kind.edge)
 
         def span(m):
-            before, after = _around(whole, m["start"], m["stop"], width)
+            before, after = map(_lower, _around(gaps, hits, m["place"], width)) if width else (F.lit(""), F.lit(""))
             return F.struct(m["start"].alias("start"), F.lit(k).alias("rank"), F.lit(kind.name).alias("kind"), m["stop"].alias("stop"), m["hit"].alias("hit"), kind.score(m["hit"], before, after).cast("int").alias("score"))
 
-        there = F.filter(_positions(F.col(f"{p}gaps_{k}"), F.col(f"{p}hits_{k}")), lambda m: kind.valid(m["hit"]) & edges_free(m))
-        return F.when(F.size(f"{p}hits_{k}") > 0, F.transform(there, span)).otherwise(F.array().cast(SPANS))
+        there = F.filter(_positions(gaps, hits), lambda m: kind.valid(m["hit"]) & edges_free(m))
+        return F.when(F.size(hits) > 0, F.transform(there, span)).otherwise(F.array().cast(SPANS))
 
     base = [k for k, kind in enumerate(kinds) if kind.base]
     added = [k for k, kind in enumerate(kinds) if not kind.base]
@@ -136,14 +176,29 @@ def digest(docs: DataFrame, kinds: Sequence[Kind], spans: str = "spans") -> Data
 
 
 def redacted(text: Column, spans: Column, mask: Callable[[Column], Column]) -> Column:
-    """The text with every span replaced by ``mask(span)``; of overlapping spans the union goes once."""
+    """The text with every span replaced by ``mask(span)``; of overlapping spans the union goes once.
+
+    Each part of the spans is worked on in its own piece of the text.
+    """
+    cut = F.transform(_parts(F.size(spans)), lambda c: F.slice(spans, c * PART + 1, F.lit(PART)))
+
+    def reach(acc, part):
+        upto = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["stop"])))
+        one = F.struct(acc["at"].alias("low"), upto.alias("high"), part.alias("items"))
+        return F.struct(upto.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<low:int,high:int,items:{SPANS}>>").alias("out"))
+
+    def piece(x):
+        own = F.substring(text, x["low"] + 1, x["high"] - x["low"])
+
+        def step(acc, s):
+            fresh = s["start"] >= acc["at"]
+            gap = F.when(fresh, F.substring(acc["own"], acc["at"] - x["low"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
+            new = F.when(fresh, mask(s)).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["own"].alias("own"), F.concat(acc["out"], gap, new).alias("out"))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.when(fresh, F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        new = F.when(fresh, mask(s)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap, new).alias("out"))
+        return F.aggregate(x["items"], F.struct(x["low"].alias("at"), own.alias("own"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    built = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    built = F.aggregate(cut, zero, reach, lambda acc: F.concat(F.array_join(F.transform(acc["out"], piece), ""), F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, built).otherwise(text)
