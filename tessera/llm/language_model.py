@@ -1,11 +1,14 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-The next word is predicted in two factors: its class, by a maximum-entropy
-model over hashed features of the context (the last word, a skip over it, the
-classes of the last three words and pairs of them), then the word within its
-class by add-half counts.  Classes are hashed two-byte endings, one class for
-the end of a text, and one that repeats the last word; a repeated word may
-come by either way and both chances count, so probabilities add up to one.
+The next word is predicted in two factors, each a softmax over hashed features
+of the context: first its class, from the last word, a skip over it, the
+classes of the last three words and pairs of them; then its place in the class,
+from the class with the last word, with a skip over it, and with the last two
+classes.  A class has ``SLOTS`` places: one for each of its most frequent words
+and one for all its others, which share it by add-half counts.  Classes are
+hashed two-byte endings, one class for the end of a text, and one that repeats
+the last word; a repeated word may come by either way and both chances count,
+so probabilities add up to one.
 
 Three steps, none of which brings a vocabulary to one place:
 
@@ -14,8 +17,9 @@ Three steps, none of which brings a vocabulary to one place:
    words once, and a frequent word is one entry a block however often it occurs.
 2. Blocks send their entries, packed by range of the hash, to as many shards
    as keep a shard near ``_SHARD`` entries.  A shard adds its counts and sends
-   each block its totals back, in the block's own order.
-3. The class model is trained by diagonally scaled gradient steps, each summed
+   each block its totals back, in the block's own order, and names the most
+   frequent words of each class.
+3. Both factors are trained by diagonally scaled gradient steps, each summed
    over another share of the texts until every training text was used once,
    and blocks are scored in numpy batches.
 
@@ -32,18 +36,24 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_of, in_arrow, materialize, table, words
 
 CLASSES, FEATURES, BITS = 32, 7, 13
+#: Places in a class, as many as classes, so that one matrix holds the weights of both factors.
+SLOTS, WORD_FEATURES = CLASSES, 3
 TABLE = 1 << BITS
+#: Rows of the matrix: features of classes, features of places, and a row for each class.
+ROWS = 2 * TABLE + CLASSES
 ROUNDS, RATE, PRIOR = 4, 0.2, 3.0
 END, REPEAT = 0, 1
 _END_WORD = b" "
@@ -51,8 +61,9 @@ _END_WORD = b" "
 _BLOCK_TOKENS, _BLOCK_WORDS, _BLOCK_DOCS = 4_000_000, 300_000, 20_000
 #: Tokens whose features stand in memory at once, and those of one matrix of chances.
 _SLICE, _BATCH, _SHARD = 1 << 18, 1 << 14, 1_000_000
-_CHUNKS, _MOST_TASKS = 256, 4096
-_SALTS = np.random.default_rng(5).integers(1, 1 << 62, FEATURES, np.uint64) | np.uint64(1)
+#: Rows of the matrix in a chunk, and blocks that a task adds up before it sends chunks.
+_CHUNK, _BLOCKS_A_TASK = 32, 4
+_SALTS = np.random.default_rng(5).integers(1, 1 << 62, FEATURES + WORD_FEATURES, np.uint64) | np.uint64(1)
 
 _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, n long, tokens binary, codes binary, classes binary, hashes binary, trained binary"
 
@@ -127,6 +138,7 @@ class Block:
         self.tokens = _unpacked(row["tokens"], int(self.sizes.sum()), np.int32)
         self.codes = _unpacked(row["codes"], row["n"], np.uint32)
         self.classes = _unpacked(row["classes"], row["n"], np.uint8).astype(np.int64)
+        self.hashes = _unpacked(row["hashes"], row["n"], np.uint64)
 
 
 def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
@@ -146,8 +158,17 @@ def _slices(tokens: np.ndarray, place: np.ndarray) -> Iterator[tuple[slice, np.n
         yield slice(at, at + _SLICE), tokens[own], place[own], back
 
 
-def _context(codes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """``(tokens, FEATURES)`` places in the table; ``place`` is each token's in its text."""
+def _hashed(key: np.ndarray, salt: np.uint64) -> np.ndarray:
+    x = (key + np.uint64(1)) * salt
+    x ^= x >> np.uint64(29)
+    return (x * salt) >> np.uint64(64 - BITS)
+
+
+def _context(codes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the matrix that say a token's class, and those that say its place in that class.
+
+    ``place`` is each token's in its text.
+    """
     n = len(codes)
     h, c = [], []
     for lag in (1, 2, 3):
@@ -155,18 +176,20 @@ def _context(codes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.nd
         before = np.maximum(np.arange(n) - lag, 0)
         h.append(np.where(there, codes[before].astype(np.uint64) + np.uint64(1), np.uint64(0)))
         c.append(np.where(there, classes[before], CLASSES).astype(np.uint64))
-    one, k = np.uint64(1), np.uint64(CLASSES + 1)
+    k, own = np.uint64(CLASSES + 1), classes.astype(np.uint64)
     keys = (np.zeros(n, np.uint64), h[0], h[1], c[0], c[0] * k + c[1], c[1] * k + c[2], (c[0] * k + c[1]) * k + c[2])
-    out = np.empty((n, FEATURES), np.uint16)
+    word_keys = (h[0] * k + own, h[1] * k + own, (c[0] * k + c[1]) * k + own)
+    by_class, by_place = np.empty((n, FEATURES), np.uint16), np.empty((n, WORD_FEATURES + 1), np.uint16)
     for f, key in enumerate(keys):
-        x = (key + one) * _SALTS[f]
-        x ^= x >> np.uint64(29)
-        out[:, f] = (x * _SALTS[f]) >> np.uint64(64 - BITS)
-    return out
+        by_class[:, f] = _hashed(key, _SALTS[f])
+    for f, key in enumerate(word_keys):
+        by_place[:, f] = TABLE + _hashed(key, _SALTS[FEATURES + f])
+    by_place[:, WORD_FEATURES] = 2 * TABLE + classes
+    return by_class, by_place
 
 
 def _chances(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Class probabilities of each token."""
+    """Chances of each class, or of each place in a class, for every token."""
     z = weights[places[:, 0]]
     for f in range(1, places.shape[1]):
         z += weights[places[:, f]]
@@ -185,35 +208,61 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes, dtype=np.int64) - sizes
 
 
-def gradient(blocks: DataFrame, weights: np.ndarray, turn: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected feature-class counts over the training texts whose turn it is."""
-    rows = TABLE // _CHUNKS
+def _add(seen: np.ndarray, meant: np.ndarray, weights: np.ndarray, places: np.ndarray, target: np.ndarray) -> None:
+    """Add the observed and expected counts of some tokens' features."""
+    if not len(places):
+        return
+    for at in range(0, len(places), _BATCH):
+        x = places[at : at + _BATCH]
+        p = _chances(weights, x)
+        for f in range(x.shape[1]):
+            order = np.argsort(x[:, f], kind="stable")
+            s = x[order, f]
+            if s[0] == s[-1]:
+                meant[s[0]] += p.sum(axis=0)
+                continue
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            meant[s[first]] += np.add.reduceat(p[order], first, axis=0)
+    for f in range(places.shape[1]):
+        base = int(places[:, f].min())
+        key = (places[:, f].astype(np.int64) - base) * CLASSES + target
+        n = np.bincount(key)
+        seen.reshape(-1)[base * CLASSES : base * CLASSES + len(n)] += n
+
+
+@dataclass(frozen=True)
+class Heads:
+    """The words that have a place of their own, by hash."""
+
+    hashes: np.ndarray
+    slots: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word in its class; 0 is that of all without one."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.slots[at], 0)
+
+
+def gradient(blocks: DataFrame, weights: np.ndarray, heads: Heads, turn: int, rounds: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Observed and expected counts of each feature, by class or place, over the training texts whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, meant = np.zeros((TABLE, CLASSES)), np.zeros((TABLE, CLASSES))
+        seen, meant = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
         for row in (r for batch in batches for r in batch.to_pylist()):
             b = Block(row)
+            slots = heads.of(b.hashes)
             use = ~b.held & (np.arange(len(b.held)) % rounds == turn)
             all_tokens, place = b.tokens[np.repeat(use, b.sizes)], _places_in_text(b.sizes[use])
             for _, tokens, at_place, back in _slices(all_tokens, place):
-                classes = b.classes[tokens]
-                places = _context(b.codes[tokens], classes, at_place)[back:]
-                target = np.where(_repeats(tokens, at_place), REPEAT, classes)[back:]
-                for at in range(0, len(places), _BATCH):
-                    x = places[at : at + _BATCH]
-                    p = _chances(weights, x)
-                    meant[x[0, 0]] += p.sum(axis=0)
-                    for f in range(1, FEATURES):
-                        order = np.argsort(x[:, f], kind="stable")
-                        s = x[order, f]
-                        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                        meant[s[first]] += np.add.reduceat(p[order], first, axis=0)
-                for f in range(FEATURES):
-                    key = places[:, f].astype(np.int64) * CLASSES + target
-                    seen += np.bincount(key, minlength=seen.size).reshape(seen.shape)
+                classes, again = b.classes[tokens], _repeats(tokens, at_place)[back:]
+                by_class, by_place = (x[back:] for x in _context(b.codes[tokens], classes, at_place))
+                _add(seen, meant, weights, by_class, np.where(again, REPEAT, classes[back:]))
+                _add(seen, meant, weights, by_place[~again], slots[tokens[back:]][~again])
         part = TaskContext.get().partitionId()
-        for k in range(_CHUNKS):
-            own = slice(k * rows, (k + 1) * rows)
+        for k in range(ROWS // _CHUNK):
+            own = slice(k * _CHUNK, (k + 1) * _CHUNK)
             if seen[own].any() or meant[own].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), *(pa.array([x[own].astype(np.float32).tobytes()], pa.binary()) for x in (seen, meant))], names=["chunk", "part", "seen", "meant"])
 
@@ -222,35 +271,47 @@ def gradient(blocks: DataFrame, weights: np.ndarray, turn: int, rounds: int) ->
         total = [sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.column(c).to_pylist()).astype(np.float32).tobytes() for c in ("seen", "meant")]
         return pa.table({"chunk": group.column("chunk")[:1], "seen": pa.array([total[0]], pa.binary()), "meant": pa.array([total[1]], pa.binary())})
 
-    light = blocks.select("doc_ids", "held", "sizes", "n", "tokens", "codes", "classes")
-    parts = light.coalesce(_MOST_TASKS).mapInArrow(run, "chunk int, part int, seen binary, meant binary")
-    out = np.zeros((2, TABLE, CLASSES))
+    light = blocks.select("doc_ids", "held", "sizes", "n", "tokens", "codes", "classes", "hashes")
+    parts = in_arrow(light.coalesce(tasks), run, "chunk int, part int, seen binary, meant binary")
+    out = np.zeros((2, ROWS, CLASSES))
     for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, seen binary, meant binary").collect():
-        out[:, r.chunk * rows : (r.chunk + 1) * rows] = [np.frombuffer(x, np.float32).reshape(rows, CLASSES) for x in (r.seen, r.meant)]
+        out[:, r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = [np.frombuffer(x, np.float32).reshape(_CHUNK, CLASSES) for x in (r.seen, r.meant)]
     return out[0], out[1]
 
 
-def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the class model after one pass over the training texts, in ``rounds`` parts.
+def start(totals: np.ndarray, head_counts: np.ndarray) -> np.ndarray:
+    """Weights that give classes, and places in them, their shares of the training tokens.
 
-    They start from the classes' shares of the tokens.  A step follows the
-    gradient, observed less expected count, on the scale of a log ratio.
+    ``totals`` by class are (tokens, words); ``head_counts[class, slot]`` are those of words with a place.
     """
-    weights = np.zeros((TABLE, CLASSES), np.float32)
-    always = _context(np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int32))[0, 0]
-    weights[always] = np.log((shares + 1e-6) / (shares + 1e-6).sum())
+    weights = np.zeros((ROWS, CLASSES), np.float32)
+    always = _context(np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int32))[0][0, 0]
+    shares = totals[:, 0] + 1e-6
+    weights[always] = np.log(shares / shares.sum())
     weights[always, REPEAT] = np.log(0.01)
+    own = head_counts.astype(float)
+    own[:, 0] = totals[:, 0] - own[:, 1:].sum(axis=1) + 0.5
+    with np.errstate(divide="ignore"):
+        weights[2 * TABLE :] = np.maximum(np.log(own / own.sum(axis=1, keepdims=True)), -40)
+    return weights
+
+
+def train(blocks: DataFrame, weights: np.ndarray, heads: Heads, tasks: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights after one pass over the training texts, in ``rounds`` parts.
+
+    A step follows the gradient, observed less expected count, on the scale of a log ratio.
+    """
     for k in range(rounds):
-        seen, meant = gradient(blocks, weights, k, rounds)
+        seen, meant = gradient(blocks, weights, heads, k, rounds, tasks)
         step = np.log((seen + PRIOR) / (meant + PRIOR))
-        weights += (RATE * np.clip(step, -3, 3)).astype(np.float32)
+        weights = weights + (RATE * np.clip(step, -3, 3)).astype(np.float32)
     return weights
 
 
 def counted(blocks: DataFrame, shards: int) -> DataFrame:
-    """``(block, shard, known, tokens, words)``: for each block and shard the training counts of the block's words there.
+    """``(block, shard, known, tokens, words, heads)``: for each block and shard the training counts of the block's words there.
 
-    Rows with a null block have a shard's tokens and words by class instead.
+    Rows with a null block have a shard's tokens and words by class instead, and the most frequent words of each class.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,23 +333,55 @@ def counted(blocks: DataFrame, shards: int) -> DataFrame:
         kind = np.concatenate(classes)[first]
         tokens = np.bincount(kind, weights=n, minlength=CLASSES).astype(np.int64)
         known = np.bincount(kind, weights=n > 0, minlength=CLASSES).astype(np.int64)
+        order = np.lexsort((every, -n, kind))
+        rank = np.arange(len(order)) - np.searchsorted(kind[order], kind[order])
+        top = order[(rank < SLOTS - 1) & (n[order] > 0)]
+        heads = [{"class": int(kind[i]), "n": int(n[i]), "hash": int(every[i : i + 1].view(np.int64)[0])} for i in top]
         ends = np.cumsum([len(h) for h in hashes])[:-1]
         out = [_packed(x) for x in np.split(n[back], ends)]
         shard, blocks = group.column("shard")[0].as_py(), group.column("block").to_pylist()
         return pa.table({
             "block": pa.array([*blocks, None], pa.int64()), "shard": pa.array([shard] * (len(out) + 1), pa.int32()), "known": pa.array([*out, None], pa.binary()),
             "tokens": pa.array([*[None] * len(out), tokens.tolist()], pa.list_(pa.int64())), "words": pa.array([*[None] * len(out), known.tolist()], pa.list_(pa.int64())),
+            "heads": pa.array([*[None] * len(out), heads], pa.list_(pa.struct([("class", pa.int32()), ("n", pa.int64()), ("hash", pa.int64())]))),
         })
 
-    sent = blocks.select("block", "n", "hashes", "trained", "classes").mapInArrow(send, "shard int, block long, hashes binary, trained binary, classes binary")
-    return sent.groupBy("shard").applyInArrow(add, "block long, shard int, known binary, tokens array<long>, words array<long>")
-
-
-def score(blocks: DataFrame, replies: DataFrame, weights: np.ndarray, totals: np.ndarray, shards: int) -> DataFrame:
-    """Scores of every text.  ``replies`` are those of ``counted``; ``totals`` by class are (tokens, words)."""
-    n_train, n_words = (int(x) for x in totals.sum(axis=0))
-    by_share = (totals[:, 0] + 0.5) / (totals[:, 0] + 0.5).sum()
-    log10 = lambda c, n, v: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    sent = in_arrow(blocks.select("block", "n", "hashes", "trained", "classes"), send, "shard int, block long, hashes binary, trained binary, classes binary")
+    return sent.groupBy("shard").applyInArrow(add, "block long, shard int, known binary, tokens array<long>, words array<long>, heads array<struct<class:int,n:long,hash:long>>")
+
+
+@dataclass(frozen=True)
+class Model:
+    """The weights of both factors, the words with a place, and the counts that the other words share by."""
+
+    weights: np.ndarray
+    heads: Heads
+    totals: np.ndarray
+    rest: np.ndarray
+
+    def scores(self, b: Block, counts: np.ndarray) -> np.ndarray:
+        """The log10 chance of every token of a block; ``counts`` are the training counts of its words."""
+        by_share = (self.totals[:, 0] + 0.5) / (self.totals[:, 0] + 0.5).sum()
+        slots = self.heads.of(b.hashes)
+        shared = np.where(slots > 0, 1.0, (counts + 0.5) / (self.rest[b.classes, 0] + 0.5 * (self.rest[b.classes, 1] + 1)))
+        out = np.empty(len(b.tokens))
+        for part, tokens, place, back in _slices(b.tokens, _places_in_text(b.sizes)):
+            classes = b.classes[tokens]
+            by_class, by_place = (x[back:] for x in _context(b.codes[tokens], classes, place))
+            again, tokens, classes, place = _repeats(tokens, place)[back:], tokens[back:], classes[back:], place[back:]
+            for k in range(0, len(tokens), _BATCH):
+                own = slice(k, k + _BATCH)
+                p, rows = _chances(self.weights, by_class[own]), np.arange(len(tokens[own]))
+                # Where a text begins there is nothing to repeat: that chance goes to the words by class.
+                chance = p[rows, classes[own]] + np.where(place[own] == 0, p[:, REPEAT] * by_share[classes[own]], 0)
+                chance *= _chances(self.weights, by_place[own])[rows, slots[tokens[own]]] * shared[tokens[own]]
+                out[part][own] = np.log10(chance + np.where(again[own], p[:, REPEAT], 0))
+        return out
+
+
+def score(blocks: DataFrame, replies: DataFrame, model: Model, shards: int) -> DataFrame:
+    """Scores of every text.  ``replies`` are those of ``counted``."""
+    n_train, n_words = (int(x) for x in model.totals.sum(axis=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
@@ -299,42 +392,45 @@ def score(blocks: DataFrame, replies: DataFrame, weights: np.ndarray, totals: np
             for reply in row["replies"]:
                 own = order[np.searchsorted(ordered, reply["shard"]) : np.searchsorted(ordered, reply["shard"], "right")]
                 c[own] = _unpacked(reply["known"], len(own), np.int64)
-            base = log10(c, n_train, n_words)
-            inside = (c + 0.5) / (totals[b.classes, 0] + 0.5 * (totals[b.classes, 1] + 1))
-            whole = np.empty(len(b.tokens))
-            for part, tokens, place, back in _slices(b.tokens, _places_in_text(b.sizes)):
-                classes = b.classes[tokens]
-                places, again = _context(b.codes[tokens], classes, place)[back:], _repeats(tokens, place)[back:]
-                tokens, classes, place = tokens[back:], classes[back:], place[back:]
-                for k in range(0, len(tokens), _BATCH):
-                    own = slice(k, k + _BATCH)
-                    p = _chances(weights, places[own])
-                    # Where a text begins there is nothing to repeat: that chance goes to the words by class.
-                    by_class = p[np.arange(len(p)), classes[own]] + np.where(place[own] == 0, p[:, REPEAT] * by_share[classes[own]], 0)
-                    whole[part][own] = np.log10(by_class * inside[tokens[own]] + np.where(again[own], p[:, REPEAT], 0))
+            base = np.log10((c + 0.5) / (n_train + 0.5 * (n_words + 1)))
             starts, tokens = _starts(b.sizes), b.tokens
             add = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.sizes), pa.array(add((c > 0)[tokens].astype(np.int64))), pa.array(np.full(len(b.ids), n_train)), pa.array(add(base[tokens])), pa.array(add(whole))],
+                [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.sizes), pa.array(add((c > 0)[tokens].astype(np.int64))), pa.array(np.full(len(b.ids), n_train)), pa.array(add(base[tokens])), pa.array(add(model.scores(b, c)))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    light = blocks.select("block", "doc_ids", "held", "sizes", "n", "tokens", "codes", "classes")
+    light = blocks.select("block", "doc_ids", "held", "sizes", "n", "tokens", "codes", "classes", "hashes")
     own = replies.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("shard", "known")).alias("replies"))
-    return light.join(own, "block").drop("block").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return in_arrow(light.join(own, "block").drop("block"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def scores(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
+def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model, and for ``score`` the blocks, replies and number of shards."""
     blocks = materialize(encode(docs, text))
-    entries = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, entries = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-entries // _SHARD))
     replies = materialize(counted(blocks, shards))
-    by_class = replies.where("block IS NULL").select(F.posexplode(F.arrays_zip("tokens", "words")).alias("class", "x"))
+    summed = replies.where("block IS NULL")
     totals = np.zeros((CLASSES, 2))
+    by_class = summed.select(F.posexplode(F.arrays_zip("tokens", "words")).alias("class", "x"))
     for r in by_class.groupBy("class").agg(F.sum("x.tokens").alias("tokens"), F.sum("x.words").alias("words")).collect():
         totals[r["class"]] = r.tokens, r.words
-    return score(blocks, replies, train(blocks, totals[:, 0]), totals, shards)
+    ranked = summed.select(F.explode("heads").alias("x")).select("x.*").withColumn("slot", F.row_number().over(W.partitionBy("class").orderBy(F.desc("n"), "hash")))
+    found = sorted(((r.hash % (1 << 64), r["class"], r.slot, r.n) for r in ranked.where(F.col("slot") < SLOTS).collect()))
+    hashes, kinds, slots, counts = (np.array(x, t) for x, t in zip(zip(*found) if found else [()] * 4, (np.uint64, np.int64, np.int64, np.int64)))
+    own = np.zeros((CLASSES, SLOTS), np.int64)
+    own[kinds, slots] = counts
+    rest = totals - np.c_[own.sum(axis=1), (own > 0).sum(axis=1)]
+    heads = Heads(hashes, slots)
+    weights = train(blocks, start(totals, own), heads, max(1, -(-n // _BLOCKS_A_TASK)))
+    return Model(weights, heads, totals, rest), blocks, replies, shards
+
+
+def scores(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
+    model, blocks, replies, shards = fit(docs, text)
+    return score(blocks, replies, model, shards)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
