@@ -116,12 +116,15 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, where: Column | None = None) -> DataFrame:
-    """``(label, text)`` of at most ``most`` labelled rows, those of smallest id hash; their ids are a bounded broadcast."""
+    """``(label, text)`` of at most ``most`` labelled rows, those of smallest id hash; their ids are a bounded broadcast.
+
+    Of documents that repeat an id the smallest text is taken, so rows stay within the bound.
+    """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         rows = rows.where(where)
-    ids = rows.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = rows.select("doc_id", F.col(label).cast("int").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:

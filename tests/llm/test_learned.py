@@ -95,22 +95,72 @@ def test_toxicity_on_held_out_rows(spark, labelled, sf_dir):
     assert len(got) == docs.count()
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
-        assert r.doc_id is None or r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert r.held_out is (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
     held = [r for r in got if r.held_out and r.doc_id < 900]
     right = sum(r.predicted == int(r.doc_id % 7 == 0) for r in held)
     assert right >= 0.95 * len(held)
 
 
-def test_clause_automaton():
-    lex = toxicity.Lexicon({"zorg": 3.0}, {"blarg": 2.0})
-    totals = lambda s: toxicity.clause_totals(s.split(), lex).tolist()
-    assert totals("a zorg thing")[0] == 3.0
-    assert totals("not a zorg")[1] == 3.0 and totals("not a b c d e zorg")[1] == 0.0
-    assert totals("she said it was zorg")[2] == 3.0
-    assert totals("you zorg")[3] == 3.0 and totals("zorg , you")[3] == 3.0
-    assert totals("blargling")[4] == 2.0
-    assert totals("kill you")[5] == 1.0 and totals("kill time")[6] == 1.0 and totals("not kill you")[6] == 1.0
-    assert list(toxicity.clauses("One two. Three!\nfour; _5")) == [["one", "two"], ["three"], ["four"], ["_5"]]
+def test_patterns():
+    lex = toxicity.Lexicon({"zorg": 3.0, "blorf": 2.0}, {"blarg": 2.0})
+    names = lambda s: toxicity.names(s, lex)
+    for lone in ("a zorg thing", "zorg", "blargling", "kill time", "not kill", "she said so. a b c d e f g h i zorg", ""):
+        assert names(lone) == [] and (toxicity.features(lone, lex)[:-1] == 0).all()
+    assert names("you zorg") == names("zorg of a you") == [("attack", 3.0)] and names("zorg a b c d you") == []
+    assert names("not a zorg") == [("denied", 3.0)] and names("x said it was zorg") == [("quoted", 3.0)]
+    assert names("kill you") == [("menace", 1.0)] and names("not kill you") == [("denied", 1.0)] and names("x said kill you") == [("quoted", 1.0)]
+    assert names("a zorg and blorf") == [("chain", 2.0)] and names("blargs a blarging") == [("cluster", 2.0)]
+    assert names("zorg. you") == [] and names("a zorg. the blorf! so\nzorg") == [("again", 2.0), ("again", 3.0)]
+    assert names("blarga. blargb") == [("stray again", 2.0)] and names("you zorg. a blorf") == [("attack", 3.0), ("again", 2.0)]
+
+
+def every_path(machines, letters):
+    """All that the machines can write, one after the other, with the weight of each way."""
+    tapes = [([x for x, _ in letters], 0.0)]
+    for m in machines:
+        out = []
+        for tape, weight in tapes:
+            rows = [((), weight, m.start)]
+            for x, (_, strength) in zip(tape, letters):
+                rows = [((*o, y), w + v * strength, after) for o, w, state in rows for y, v, after in m.step(state, x)]
+            out += [(list(o), w) for o, w, state in rows if m.final(state)]
+        tapes = out
+    return tapes
+
+
+def test_composed_machine_against_all_paths():
+    rng = random.Random(6)
+    parts = [toxicity.negating(), toxicity.reporting(), toxicity.aiming(), toxicity.matching()]
+    for _ in range(400):
+        letters = [(x, 0.0 if x in ".ynq" else rng.choice([1.0, 2.5, 4.0])) for x in rng.choices(".istynq", [6, 3, 1, 1, 2, 1, 1], k=rng.randint(1, 11))]
+        weight, out = toxicity.CLAUSE.best(letters)
+        ways = every_path(parts, letters)
+        assert abs(weight - max(w for _, w in ways)) < 1e-9
+        strengths = [v for _, v in letters]
+        written = [[(name, v) for name, v in zip(o, strengths) if name != toxicity.FILLER] for o, w in ways if abs(w - weight) < 1e-9]
+        assert out in written
+
+
+def test_score_against_the_formula(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    got = {(r.doc_id, round(r.score, 9)) for r in toxicity.scored(docs, model).collect()}
+    for r in docs.collect():
+        x = dict.fromkeys(toxicity.NAMES, 0.0)
+        found = toxicity.names(r.text, model.lexicon)
+        for name, v in found:
+            x[name] += v
+        every = [math.log1p(v) for v in (*x.values(), max((v for _, v in found), default=0), len(found), len(r.text or ""))]
+        z = sum(a * b for a, b in zip(every, model.curve)) + model.curve[-1]
+        assert (r.doc_id, round(1 / (1 + math.exp(-z)), 9)) in got
+
+
+def test_long_clauses_are_cut_at_spaces(monkeypatch):
+    lex = toxicity.Lexicon({"zorg": 3.0}, {})
+    text = "some words, you zorg. " * 50 + "x" * 90 + " " + "a b " * 60 + "you zorg"
+    want = toxicity.names(text, lex)
+    monkeypatch.setattr(toxicity, "CUT", 40)
+    assert "".join(toxicity._parts(text)) == text and toxicity.names(text, lex) == want and len(want) == 51
 
 
 def test_toxicity_never_reads_other_columns_or_held_out_labels(spark, labelled):
@@ -156,24 +206,86 @@ def test_language_model_base_against_brute_force(spark, labelled, sf_dir, monkey
     assert sum(r.score for r in out) > sum(r.base_score for r in out)  # better than single words on texts never seen
 
 
-def test_language_model_probabilities_add_up():
-    """Over the known words and one unknown, the chances of the next word add up to one."""
-    rng = np.random.default_rng(2)
-    words = [f"w{k}x{k % 7}".encode() for k in range(60)] + [b" "]
-    classes = np.array([language_model.class_of(w) for w in words])
-    counts = rng.integers(1, 9, len(words))
-    weights = rng.normal(size=(language_model.TABLE, language_model.CLASSES)).astype(np.float32)
-    codes = rng.integers(0, 1 << 32, len(words)).astype(np.uint32)
-    sums = np.bincount(classes, weights=counts, minlength=language_model.CLASSES)
-    kinds = np.bincount(classes, minlength=language_model.CLASSES)
-    total = 0.0
-    for w in range(len(words)):
-        text = np.array([3, 5, w])
-        places = language_model._context(codes[text], classes[text], np.arange(3))
-        p = language_model._chances(weights, places)[2]
-        total += p[classes[w]] * (counts[w] + 0.5) / (sums[classes[w]] + 0.5 * (kinds[classes[w]] + 1)) + (p[1] if w == 5 else 0)
-    unknown = sum(p[c] * 0.5 / (sums[c] + 0.5 * (kinds[c] + 1)) for c in range(language_model.CLASSES) if c != 1)
-    assert abs(total + unknown - 1) < 1e-4
+def plain_scores(model, listed, held):
+    """The model's log10 chance of each text, token by token, from its weights."""
+    lm, mask = language_model, (1 << 64) - 1
+    code = lambda w: lm.xxhash.xxh64_intdigest(w, 42)
+    word = lambda w: lm._END_WORD if w is None else w.encode()
+    seen = Counter(word(w) for i, t in listed if not held(i) for w in tokens(t))
+    slots = dict(zip(model.heads.hashes.tolist(), model.heads.slots.tolist()))
+
+    def row(f, key):
+        salt = int(lm._SALTS[f])
+        x = (key + 1) * salt & mask
+        x ^= x >> 29
+        return (x * salt & mask) >> (64 - lm.BITS)
+
+    def chances(rows):
+        z = model.weights[rows].astype(float).sum(axis=0)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    out = []
+    share = (model.totals[:, 0] + 0.5) / (model.totals[:, 0] + 0.5).sum()
+    for _, text in listed:
+        ws, total = [word(w) for w in tokens(text)], 0.0
+        for k, w in enumerate(ws):
+            h = [(code(ws[k - j]) >> 32) + 1 if k >= j else 0 for j in (1, 2)]
+            c = [lm.class_of(ws[k - j]) if k >= j else lm.CLASSES for j in (1, 2, 3)]
+            own, n = lm.class_of(w), lm.CLASSES + 1
+            p = chances([row(f, x) for f, x in enumerate((0, h[0], h[1], c[0], c[0] * n + c[1], c[1] * n + c[2], (c[0] * n + c[1]) * n + c[2]))])
+            q = chances([lm.TABLE + row(lm.FEATURES + f, x) for f, x in enumerate((h[0] * n + own, h[1] * n + own, (c[0] * n + c[1]) * n + own))] + [2 * lm.TABLE + own])
+            slot = slots.get(code(w), 0)
+            inside = q[slot] if slot else q[0] * (seen[w] + 0.5) / (model.rest[own][0] + 0.5 * (model.rest[own][1] + 1))
+            total += math.log10((p[own] + (p[lm.REPEAT] * share[own] if k == 0 else 0)) * inside + (p[lm.REPEAT] if k and ws[k - 1] == w else 0))
+        out.append(total)
+    return out
+
+
+def test_language_model_score_against_brute_force(spark, labelled, monkeypatch):
+    docs, _ = labelled
+    docs = docs.where("doc_id IS NULL OR doc_id < 200 OR doc_id > 1000")
+    monkeypatch.setattr(language_model, "_BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(language_model, "_SLICE", 700)
+    model, *rest = language_model.fit(docs)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    every = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {}
+    for r in language_model.score(rest[0], rest[1], model, rest[2]).collect():
+        got.setdefault(str(r.doc_id), []).append(round(r.score, 3))
+    want = plain_scores(model, every, held)
+    for (i, t), x in zip(every, want):
+        assert any(abs(x - y) < 0.002 * max(1, len(t or "") / 100) for y in got[str(i)])
+
+
+def test_language_model_probabilities_add_up(spark, labelled):
+    """In any context the chances of all known words and of the unknown ones add up to one."""
+    lm, (docs, _) = language_model, labelled
+    docs = docs.where("doc_id < 60")
+    model, *_ = lm.fit(docs)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    seen = Counter(lm._END_WORD if w is None else w.encode() for r in docs.collect() if not held(r.doc_id) for w in tokens(r.text))
+    words = sorted(seen)
+    hashes = np.array([lm.xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+    classes = np.array([lm.class_of(w) for w in words])
+    slots = model.heads.of(hashes)
+    assert (slots > 0).sum() == len(model.heads.hashes) and model.totals[:, 1].sum() == len(words)
+    block = lm.Block.__new__(lm.Block)
+    block.codes, block.classes, block.hashes = (hashes >> np.uint64(32)).astype(np.uint32), classes, hashes
+    n = len(words)
+    block.tokens = np.array([[3, 5, w] for w in range(n)]).ravel()
+    block.sizes = np.full(n, 3)
+    counts = np.array([seen[w] for w in words], float)
+    total = (10 ** model.scores(block, counts)).reshape(n, 3)[:, 2].sum()
+    text = np.array([3, 5, 7])
+    by_class, by_place = lm._context(block.codes[text], classes[text], np.arange(3))
+    p = lm._chances(model.weights, by_class)[2]
+    for c in range(lm.CLASSES):
+        if c != lm.REPEAT:  # the share of the class that no known word has
+            x = np.array([3, 5, int(np.flatnonzero(classes == c)[0])]) if (classes == c).any() else None
+            q = lm._chances(model.weights, lm._context(block.codes[x], classes[x], np.arange(3))[1])[2] if x is not None else [1.0]
+            total += p[c] * q[0] * 0.5 / (model.rest[c, 0] + 0.5 * (model.rest[c, 1] + 1))
+    assert abs(total - 1) < 1e-4
 
 
 def test_language_model_of_nothing(spark, make_docs):
