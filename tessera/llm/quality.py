@@ -1,24 +1,28 @@
 """Quality by importance resampling.
 
 Two generative models over hashed n-grams, one of target texts (labelled good)
-and one of raw texts (the whole corpus), give each document the log ratio of
-its likelihoods.  N-grams are byte trigrams and repeats of a word within its
-last three, each hashed to one of ``BUCKETS``.  The ratio becomes a log
-importance weight, and Gumbel top-k draws the resample: the ``k`` documents of
-largest weight plus Gumbel noise, seeded by id, without replacement.
-
-``k`` is the expected number of good documents, the sum over all documents of
-the chance of being good that the ratio implies.  That chance comes from a
-logistic curve over the ratio in all and for each n-gram.  The target model and
-the curve are fitted on at most ``SAMPLE`` labelled rows, those of smallest id
-hash; the raw model, the weights, ``k`` and the threshold cover every document
+and one of raw texts (the whole corpus), give each document two likelihoods.
+N-grams are byte trigrams and repeats of a word within its last three, each
+hashed to one of ``BUCKETS``.  A document's log importance weight is the log
+ratio of its likelihoods, summed over all its n-grams, and nothing else.
+Gumbel top-k draws the resample: the ``k`` documents of largest log weight plus
+Gumbel noise, seeded by id, without replacement.
+
+Labels choose the target texts and the size of the sample.  ``k`` is the
+expected number of good documents: the sum over all documents of the chance
+that a logistic curve over the weight alone (its inverse hyperbolic sine) gives.
+Target model and curve are fitted on at most ``SAMPLE`` labelled rows, those of
+smallest id hash: the curve on those with ``crc32(doc_id) mod 4 = 3``, the
+target model on the others.  The raw model, the weights, ``k`` and the threshold cover every document
 whole.  The k-th key is found by counting keys in bands; only one band is
 ever ordered.
 
-A null or empty text has ratio zero.  Equal keys are taken together, so
+A null or empty text has weight zero.  Equal keys are taken together, so
 repeated rows stay or go together and the sample may exceed ``k`` by such
 ties.  Without labels of both kinds all documents are kept.  An empty table
-gives an empty sample.  Further columns pass through.
+gives an empty sample.  Further columns pass through ``keep_good`` and are
+ignored by the query.  Filtering weighs each text a second time where it lies,
+which is cheaper than moving it to its weight.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh, in_arrow, materialize, table
+from tessera.llm.common import bucket_of, discard, fresh, in_arrow, materialize, table
 from tessera.llm.regression import fit_logistic
 
 SAMPLE = 20_000
@@ -43,8 +47,6 @@ BUCKETS = GRAMS + REPEATS
 #: Pseudo-counts on both sides of a ratio.
 PRIOR = 5.0
 SEED = 29
-#: The power that weights are raised to before noise is added, so that noise decides between doubtful documents only.
-SHARPNESS = 8.0
 _MIX = np.random.default_rng(7).integers(1, 1 << 62, 256, np.uint64) | np.uint64(1)
 _PIECE = 1 << 22
 
@@ -95,28 +97,24 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + PRIOR) / (scaled + PRIOR))
 
 
-def features(text: str | None, ratio: np.ndarray) -> tuple[float, float, float]:
-    """Ratio in all over the root of the length, ratio for each n-gram, and for each repeat."""
-    g = grams(text)
-    if len(g) == 0:
-        return 0.0, 0.0, 0.0
-    r = ratio[g]
-    word = g >= GRAMS
-    total, again = float(r.sum()), float(r[word].sum())
-    return (total - again) / np.sqrt(len(g)), (total - again) / len(g), again / max(1, int(word.sum()))
+def log_weight(text: str | None, ratio: np.ndarray) -> float:
+    """log p_target - log p_raw of a whole text."""
+    return float(ratio[grams(text)].sum())
 
 
 @dataclass(frozen=True)
 class Model:
+    """The log ratio of each bucket, and the curve from a weight to the chance that a document is good."""
+
     ratio: np.ndarray
     curve: np.ndarray
 
-    def logit(self, text: str | None) -> float:
-        return float(np.dot(features(text, self.ratio), self.curve[:-1]) + self.curve[-1])
+    def chance(self, weight: Column) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.asinh(weight) * float(self.curve[0]) + float(self.curve[1]))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, where: Column | None = None) -> DataFrame:
-    """``(label, text)`` of at most ``most`` labelled rows, those of smallest id hash; their ids are a bounded broadcast.
+    """``(doc_id, label, text)`` of at most ``most`` labelled rows, those of smallest id hash; their ids are a bounded broadcast.
 
     Of documents that repeat an id the smallest text is taken, so rows stay within the bound.
     """
@@ -124,25 +122,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     if where is not None:
         rows = rows.where(where)
     ids = rows.select("doc_id", F.col(label).cast("int").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The models, or None without labels of both kinds."""
-    chosen = materialize(labelled_sample(docs, labels, "quality", sample))
-    by_label = counts(chosen.select("label", "text"))
-    if 0 not in by_label or 1 not in by_label:
+    chosen = materialize(labelled_sample(docs, labels, "quality", sample), light=True)
+    curved = bucket_of(F.col("doc_id"), 4) == 3
+    kinds = {r.label for r in chosen.select("label").distinct().collect()}
+    target = counts(chosen.where(~curved & (F.col("label") == 1)).select("label", "text")).get(1)
+    if not kinds >= {0, 1} or target is None:
         return None
     raw = counts(docs.select(F.lit(0).alias("label"), "text")).get(0, np.zeros(BUCKETS))
-    ratio = log_ratio(by_label[1], raw)
+    ratio = log_ratio(target, raw)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t, ratio) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(3))], names=["label", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([log_weight(t, ratio) for t in batch.column(1).to_pylist()], pa.float64())], names=["label", "w"])
 
-    seen = in_arrow(chosen.select("label", "text"), measure, "label int, a double, b double, c double").toPandas().sort_values(["a", "b", "c", "label"])
-    return Model(ratio, fit_logistic(seen[["a", "b", "c"]].to_numpy(), seen["label"].to_numpy(float)))
+    seen = in_arrow(chosen.where(curved).select("label", "text"), measure, "label int, w double").toPandas().sort_values(["w", "label"])
+    discard(chosen)
+    return Model(ratio, fit_logistic(np.arcsinh(seen[["w"]].to_numpy()), seen["label"].to_numpy(float)))
 
 
 def gumbel(doc_id: Column) -> Column:
@@ -190,8 +190,8 @@ def weighed(docs: DataFrame, model: Model, into: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([model.logit(t) for t in batch.column(place).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([pa.array(-np.logaddexp(0, -z)), *batch.columns], names=[into, *names])
+            w = pa.array([log_weight(t, model.ratio) for t in batch.column(place).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([w, *batch.columns], names=[into, *names])
 
     return in_arrow(docs, run, T.StructType([T.StructField(into, T.DoubleType()), *docs.schema.fields]))
 
@@ -203,8 +203,8 @@ def draw(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, f
         light = docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))
         return None, light, 0.0
     scored = weighed(docs.select("doc_id", "text"), model, "log_weight").drop("text")
-    light = materialize(scored.withColumn("gumbel_key", SHARPNESS * F.col("log_weight") + gumbel(F.col("doc_id"))))
-    k = round(light.agg(F.coalesce(F.sum(F.exp("log_weight")), F.lit(0.0))).first()[0])
+    light = materialize(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"))), light=True)
+    k = round(light.agg(F.coalesce(F.sum(model.chance(F.col("log_weight"))), F.lit(0.0))).first()[0])
     return model, light, kth_largest(light, "gumbel_key", k)
 
 
@@ -214,7 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs
     into = fresh(docs, "__log_weight")
-    key = SHARPNESS * F.col(into) + gumbel(F.col("doc_id"))
+    key = F.col(into) + gumbel(F.col("doc_id"))
     return weighed(docs, model, into).where(key >= least if least is not None else F.lit(False)).select(*docs.columns)
 
 
