@@ -138,23 +138,23 @@ _BREAK = re.compile(f"[{WORD_BREAKS}]")
 LIST_CHARS = 1 << 20
 
 
-def word_lists(text: str) -> Iterator[list[bytes]]:
-    """``words`` of a whole text, list after list, so that a very long one is never all objects at once."""
+def word_lists(text: str, lower: bool = True) -> Iterator[list[bytes]]:
+    """The words of a whole text, list after list, so that a very long one is never all objects at once."""
     at = 0
     while at < len(text):
         end = at + LIST_CHARS
         if end < len(text):
             found = _BREAK.search(text, end)
             end = found.start() if found else len(text)
-        yield words(text[at:end])
+        yield words(text[at:end]) if lower else text[at:end].encode("utf-8", "surrogatepass").split()
         at = end
 
 
-def shingled(text: str, width: int) -> Iterator[list[bytes]]:
+def shingled(text: str, width: int, lower: bool = True) -> Iterator[list[bytes]]:
     """The space-joined shingles of a text's words, list after list; fewer words than ``width`` are one shingle."""
     last: list[bytes] = []
     some = False
-    for w in word_lists(text):
+    for w in word_lists(text, lower):
         w = last + w
         if len(w) >= width:
             some = True

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+import tracemalloc
 
 import numpy as np
 
@@ -61,3 +63,34 @@ def test_small_tables(spark, make_docs):
         if len({t for _, t in listed}) == 1:
             assert {r.near_next for r in got} == {1.0}
     assert multiset.compared(make_docs([(1, "x")]).limit(0)).count() == 0
+
+
+def test_a_million_lines_take_little_memory():
+    rng = random.Random(1)
+    lines = [rng.choice("abcdefghij") for _ in range(1_000_000)]
+    tracemalloc.start()
+    began = time.process_time()
+    got = multiset.Hashed("\n".join(lines), 500_000)
+    assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    each = {x: multiset.paragraph_vectors([x])[0].astype(np.uint64) for x in set(lines)}
+    want = sum(v * np.uint64(lines.count(x)) for x, v in each.items()).astype(np.uint32)
+    assert np.array_equal(got.fp, multiset.reduced(want))
+
+
+def test_lanes_do_not_wrap():
+    a, b = multiset.fingerprint("one two three four\n" * 60_000), multiset.fingerprint("one two three four\n" * 30_000)
+    assert abs(multiset.likeness(a, b) - 0.8) < 0.01  # 1 - 30,000^2 / (60,000^2 + 30,000^2)
+
+
+def test_ranges_are_small_and_in_order(spark, make_docs, prose):
+    docs = make_docs([(k * 7 % 501, prose(k, 20)) for k in range(501)])
+    got = multiset.in_order(docs, range_bytes=2000)
+    rows = [(r.range, r.ahead, r.doc_id) for r in got.collect()]
+    own = [r for r in rows if not r[1]]
+    assert [i for _, _, i in sorted(own, key=lambda r: (r[0], -r[2]))] == list(range(500, -1, -1))
+    n = max(r for r, _, _ in rows) + 1
+    assert n > 10 and got.rdd.getNumPartitions() == n
+    for k in range(n):
+        following = [i for r, ahead, i in rows if r == k and ahead]
+        assert following == [max(i for r, _, i in own if r == (k + 1) % n)]
