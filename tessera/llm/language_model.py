@@ -19,8 +19,8 @@ Three steps, none of which brings a vocabulary to one place:
    as keep a shard near ``_SHARD`` entries.  A shard adds its counts and sends
    each block its totals back, in the block's own order, and names the most
    frequent words of each class.
-3. Both factors are trained by diagonally scaled gradient steps, each summed
-   over another share of the texts until every training text was used once,
+3. Both factors are trained by diagonally scaled gradient steps, observed less
+   drawn counts summed over another share of the texts until every training text was used once,
    and blocks are scored in numpy batches.
 
 Tasks add gradients in chunks of fixed size, so what a reducer and the driver
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_of, in_arrow, materialize, table, words
 
-CLASSES, FEATURES, BITS = 32, 7, 13
+CLASSES, FEATURES, BITS = 32, 7, 14
 #: Places in a class, as many as classes, so that one matrix holds the weights of both factors.
 SLOTS, WORD_FEATURES = CLASSES, 3
 TABLE = 1 << BITS
@@ -65,7 +65,7 @@ _SLICE, _BATCH, _SHARD = 1 << 18, 1 << 14, 1_000_000
 _CHUNK, _BLOCKS_A_TASK = 32, 4
 _SALTS = np.random.default_rng(5).integers(1, 1 << 62, FEATURES + WORD_FEATURES, np.uint64) | np.uint64(1)
 
-_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, n long, tokens binary, codes binary, classes binary, hashes binary, trained binary"
+_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, n long, tokens binary, classes binary, hashes binary, trained binary"
 
 
 def class_of(word: bytes) -> int:
@@ -86,7 +86,7 @@ def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
 
 
 def encode(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Blocks of ``docs``.  Local words are numbered by falling frequency; their codes are the upper half of their hashes."""
+    """Blocks of ``docs``.  Local words are numbered by falling frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
@@ -105,8 +105,8 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
             classes = np.array([class_of(w) for w in local], np.uint8)[order]
             trained = np.bincount(tokens[train], minlength=len(local)).astype(np.int32)
             lists = [[(part << 32) + done], [ids], [held], [[len(t) for t in texts]], [len(local)]]
-            lists += [[_packed(x)] for x in (tokens, (hashes >> np.uint64(32)).astype(np.uint32), classes, hashes, trained)]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), *[pa.binary()] * 5]
+            lists += [[_packed(x)] for x in (tokens, classes, hashes, trained)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(lists, kinds)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
 
         for batch in batches:
@@ -136,9 +136,9 @@ class Block:
         self.ids, self.held = row["doc_ids"], np.array(row["held"], bool)
         self.sizes = np.array(row["sizes"], np.int64)
         self.tokens = _unpacked(row["tokens"], int(self.sizes.sum()), np.int32)
-        self.codes = _unpacked(row["codes"], row["n"], np.uint32)
         self.classes = _unpacked(row["classes"], row["n"], np.uint8).astype(np.int64)
         self.hashes = _unpacked(row["hashes"], row["n"], np.uint64)
+        self.codes = (self.hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
@@ -188,17 +188,33 @@ def _context(codes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> tuple
     return by_class, by_place
 
 
+_ONES, _UPTO = np.ones(CLASSES, np.float32), np.triu(np.ones((CLASSES, CLASSES), np.float32))
+
+
 def _chances(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Chances of each class, or of each place in a class, for every token."""
-    z = weights[places[:, 0]]
+    """Chances of each class, or of each place in a class, for every token.
+
+    Weights are steps of at most three times ``RATE`` from logarithms of shares, so no exponential overflows.
+    """
+    z = np.take(weights, places[:, 0], axis=0)
+    row = np.empty_like(z)
     for f in range(1, places.shape[1]):
-        z += weights[places[:, f]]
-    z -= z.max(axis=1, keepdims=True)
+        np.take(weights, places[:, f], axis=0, out=row, mode="clip")
+        z += row
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ _ONES)[:, None]
     return z
 
 
+def _drawn(weights: np.ndarray, places: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One draw for each token from the model's chances."""
+    out = np.empty(len(places), np.int64)
+    for at in range(0, len(places), _BATCH):
+        p = _chances(weights, places[at : at + _BATCH])
+        out[at : at + len(p)] = ((p @ _UPTO) < rng.random(len(p), np.float32)[:, None]) @ _ONES
+    return np.minimum(out, CLASSES - 1)
+
+
 def _repeats(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Whether a token is that before it in its text."""
     return np.r_[False, tokens[1:] == tokens[:-1]] & (place > 0)
@@ -208,26 +224,12 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes, dtype=np.int64) - sizes
 
 
-def _add(seen: np.ndarray, meant: np.ndarray, weights: np.ndarray, places: np.ndarray, target: np.ndarray) -> None:
-    """Add the observed and expected counts of some tokens' features."""
-    if not len(places):
-        return
-    for at in range(0, len(places), _BATCH):
-        x = places[at : at + _BATCH]
-        p = _chances(weights, x)
-        for f in range(x.shape[1]):
-            order = np.argsort(x[:, f], kind="stable")
-            s = x[order, f]
-            if s[0] == s[-1]:
-                meant[s[0]] += p.sum(axis=0)
-                continue
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            meant[s[first]] += np.add.reduceat(p[order], first, axis=0)
-    for f in range(places.shape[1]):
+def _add(counts: np.ndarray, places: np.ndarray, target: np.ndarray) -> None:
+    """Count each feature of some tokens with their targets."""
+    for f in range(places.shape[1] if len(places) else 0):
         base = int(places[:, f].min())
-        key = (places[:, f].astype(np.int64) - base) * CLASSES + target
-        n = np.bincount(key)
-        seen.reshape(-1)[base * CLASSES : base * CLASSES + len(n)] += n
+        n = np.bincount((places[:, f].astype(np.int64) - base) * CLASSES + target)
+        counts.reshape(-1)[base * CLASSES : base * CLASSES + len(n)] += n
 
 
 @dataclass(frozen=True)
@@ -246,36 +248,44 @@ class Heads:
 
 
 def gradient(blocks: DataFrame, weights: np.ndarray, heads: Heads, turn: int, rounds: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected counts of each feature, by class or place, over the training texts whose turn it is."""
+    """Observed counts of each feature, by class or place, over the training texts whose turn it is, and counts that the model draws.
+
+    A draw for each token stands for the model's chances, whose sum it is in
+    expectation: the gradient is unbiased, and costs a count instead of a row
+    of chances for every feature.  Draws are seeded by block and turn, so a
+    task that runs again sends the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, meant = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
+        seen, meant = np.zeros((ROWS, CLASSES), np.int64), np.zeros((ROWS, CLASSES), np.int64)
         for row in (r for batch in batches for r in batch.to_pylist()):
-            b = Block(row)
+            b, rng = Block(row), np.random.default_rng((row["block"], turn))
             slots = heads.of(b.hashes)
             use = ~b.held & (np.arange(len(b.held)) % rounds == turn)
             all_tokens, place = b.tokens[np.repeat(use, b.sizes)], _places_in_text(b.sizes[use])
             for _, tokens, at_place, back in _slices(all_tokens, place):
                 classes, again = b.classes[tokens], _repeats(tokens, at_place)[back:]
                 by_class, by_place = (x[back:] for x in _context(b.codes[tokens], classes, at_place))
-                _add(seen, meant, weights, by_class, np.where(again, REPEAT, classes[back:]))
-                _add(seen, meant, weights, by_place[~again], slots[tokens[back:]][~again])
+                _add(seen, by_class, np.where(again, REPEAT, classes[back:]))
+                _add(meant, by_class, _drawn(weights, by_class, rng))
+                by_place = by_place[~again]
+                _add(seen, by_place, slots[tokens[back:]][~again])
+                _add(meant, by_place, _drawn(weights, by_place, rng))
         part = TaskContext.get().partitionId()
         for k in range(ROWS // _CHUNK):
-            own = slice(k * _CHUNK, (k + 1) * _CHUNK)
-            if seen[own].any() or meant[own].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), *(pa.array([x[own].astype(np.float32).tobytes()], pa.binary()) for x in (seen, meant))], names=["chunk", "part", "seen", "meant"])
+            own = [x[k * _CHUNK : (k + 1) * _CHUNK] for x in (seen, meant)]
+            if own[0].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), *(pa.array([_packed(x.ravel())], pa.binary()) for x in own)], names=["chunk", "part", "seen", "meant"])
 
     def add(group: pa.Table) -> pa.Table:
-        group = group.sort_by("part")  # the same sum in every run
-        total = [sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.column(c).to_pylist()).astype(np.float32).tobytes() for c in ("seen", "meant")]
-        return pa.table({"chunk": group.column("chunk")[:1], "seen": pa.array([total[0]], pa.binary()), "meant": pa.array([total[1]], pa.binary())})
+        total = [sum(_unpacked(x, _CHUNK * CLASSES, np.int64) for x in group.column(c).to_pylist()) for c in ("seen", "meant")]
+        return pa.table({"chunk": group.column("chunk")[:1], **{c: pa.array([_packed(x)], pa.binary()) for c, x in zip(("seen", "meant"), total)}})
 
-    light = blocks.select("doc_ids", "held", "sizes", "n", "tokens", "codes", "classes", "hashes")
+    light = blocks.select("block", "doc_ids", "held", "sizes", "n", "tokens", "classes", "hashes")
     parts = in_arrow(light.coalesce(tasks), run, "chunk int, part int, seen binary, meant binary")
     out = np.zeros((2, ROWS, CLASSES))
     for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, seen binary, meant binary").collect():
-        out[:, r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = [np.frombuffer(x, np.float32).reshape(_CHUNK, CLASSES) for x in (r.seen, r.meant)]
+        out[:, r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = [_unpacked(x, _CHUNK * CLASSES, np.int64).reshape(_CHUNK, CLASSES) for x in (r.seen, r.meant)]
     return out[0], out[1]
 
 
@@ -299,7 +309,7 @@ def start(totals: np.ndarray, head_counts: np.ndarray) -> np.ndarray:
 def train(blocks: DataFrame, weights: np.ndarray, heads: Heads, tasks: int, rounds: int = ROUNDS) -> np.ndarray:
     """The weights after one pass over the training texts, in ``rounds`` parts.
 
-    A step follows the gradient, observed less expected count, on the scale of a log ratio.
+    A step follows the gradient, observed less drawn count, on the scale of a log ratio.
     """
     for k in range(rounds):
         seen, meant = gradient(blocks, weights, heads, k, rounds, tasks)
@@ -379,8 +389,8 @@ class Model:
         return out
 
 
-def score(blocks: DataFrame, replies: DataFrame, model: Model, shards: int) -> DataFrame:
-    """Scores of every text.  ``replies`` are those of ``counted``."""
+def score(blocks: DataFrame, replies: DataFrame, model: Model, shards: int, tasks: int) -> DataFrame:
+    """Scores of every text.  ``replies`` are those of ``counted``; blocks meet them in ``tasks`` tasks."""
     n_train, n_words = (int(x) for x in model.totals.sum(axis=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,13 +410,13 @@ def score(blocks: DataFrame, replies: DataFrame, model: Model, shards: int) -> D
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    light = blocks.select("block", "doc_ids", "held", "sizes", "n", "tokens", "codes", "classes", "hashes")
-    own = replies.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("shard", "known")).alias("replies"))
-    return in_arrow(light.join(own, "block").drop("block"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    light = blocks.select("block", "doc_ids", "held", "sizes", "n", "tokens", "classes", "hashes").repartition(tasks, "block")
+    own = replies.where("block IS NOT NULL").repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "known")).alias("replies"))
+    return in_arrow(light.join(own, "block"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
-    """The model, and for ``score`` the blocks, replies and number of shards."""
+def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame, int, int]:
+    """The model, and for ``score`` the blocks, replies, number of shards and of tasks."""
     blocks = materialize(encode(docs, text))
     n, entries = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-entries // _SHARD))
@@ -424,13 +434,13 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFram
     rest = totals - np.c_[own.sum(axis=1), (own > 0).sum(axis=1)]
     heads = Heads(hashes, slots)
     weights = train(blocks, start(totals, own), heads, max(1, -(-n // _BLOCKS_A_TASK)))
-    return Model(weights, heads, totals, rest), blocks, replies, shards
+    return Model(weights, heads, totals, rest), blocks, replies, shards, max(1, n)
 
 
 def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
-    model, blocks, replies, shards = fit(docs, text)
-    return score(blocks, replies, model, shards)
+    model, *rest = fit(docs, text)
+    return score(*rest[:2], model, *rest[2:])
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

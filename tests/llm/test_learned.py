@@ -284,7 +284,7 @@ def test_language_model_score_against_brute_force(spark, labelled, monkeypatch):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     every = [(r.doc_id, r.text) for r in docs.collect()]
     got = {}
-    for r in language_model.score(rest[0], rest[1], model, rest[2]).collect():
+    for r in language_model.score(rest[0], rest[1], model, *rest[2:]).collect():
         got.setdefault(str(r.doc_id), []).append(round(r.score, 3))
     want = plain_scores(model, every, held)
     for (i, t), x in zip(every, want):
