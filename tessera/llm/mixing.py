@@ -92,7 +92,8 @@ def share(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
     """
     nodes = nodes.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
     group = W.partitionBy(*parent)
-    order = group.orderBy(F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(0.0), name)
+    # Whole part, then the fraction: as doubles, fractions of weights under 2^26 differ wherever they are unequal.
+    order = group.orderBy(F.expr("if(weight > 0, cap div weight, 0)"), F.expr("if(weight > 0, cap % weight / weight, 0)"), name)
     before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
     prior = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     out = nodes.withColumns({"__all": F.sum("weight").over(group), "__w": prior("weight"), "__c": prior("cap")})
