@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -133,3 +134,24 @@ def test_masks_random_keys_of_letters_only(spark, make_docs):
     kept = {r.doc_id: r.text for r in secrets.mask_secrets(make_docs(enumerate(texts))).select("doc_id", "text").collect()}
     missed = sum(kept[k] == texts[k] for k in range(len(keys)))
     assert missed <= 8 and all(kept[k] == texts[k] for k in range(len(keys), len(texts)))
+
+
+def test_texts_of_many_spans(spark):
+    """Work grows about with the text; spans, context scores, overlaps and masks stay right across parts."""
+    text = " ".join(f"a{k}@b.cd 10.0.0.1 608-555-{k % 10000:04d} {'tel' if k % 3 else 'row'}" for k in range(7000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = pii.find_pii(docs).collect()
+    assert time.time() - began < 30
+    check(spark, pii.find_pii, PII, [k for k, *_ in PII], [text[:90_000]])
+    got = [(s.start, s.stop) for s in row.spans if s.kind == "local_phone"]
+    want = [m.span() for m in re.finditer(r"608-555-\d{4}", text) if re.search("phone|call|tel|mobile|fax", text[max(0, m.start() - 40) : m.start()] + "|" + text[m.end() : m.end() + 40])]
+    assert got == want and len(got) > 4000
+    for s in row.spans[:: 500]:
+        near = text[max(0, s.start - 40) : s.start].lower(), text[s.stop : s.stop + 40].lower()
+        assert s.score == pii.SCORES[s.kind][any(re.search(pii.CONTEXT[s.kind], x) for x in near)]
+    out, at = [], 0
+    for s in row.spans:
+        out += [text[at : s.start], f"<{s.kind}>"]
+        at = s.stop
+    assert pii.mask_pii(docs).first().text == "".join([*out, text[at:]])
