@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 import xxhash
 
-from tessera.llm import simhash
+from tessera.llm import nearcopies, simhash
 from tessera.llm.components import components
 
 
@@ -105,8 +106,12 @@ def test_keep_one(spark, make_docs, prose):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
-def test_keep_one_drops_near_copies_and_keeps_others(spark, make_docs, prose):
-    """Planted pairs on both sides of 0.8, and a chain, against brute force."""
+@pytest.mark.parametrize("most", [None, 3])
+def test_keep_one_drops_near_copies_and_keeps_others(spark, make_docs, prose, monkeypatch, most):
+    """Planted pairs on both sides of 0.8, and a chain, against brute force; with cells of any size in shares and by pivots too."""
+    if most:
+        monkeypatch.setattr(nearcopies, "MOST", most)
+        monkeypatch.setattr(nearcopies, "PIVOTS", 2)
     listed, want = [], []
     sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
     for k in range(60):
@@ -125,6 +130,28 @@ def test_keep_one_drops_near_copies_and_keeps_others(spark, make_docs, prose):
     assert sorted(r.doc_id for r in simhash.keep_one(make_docs(listed)).collect()) == sorted([*want, 1000])
 
 
+def test_links_between_components_of_a_large_cell_are_found(spark, make_docs, prose, monkeypatch):
+    """Two near-copy groups that only a pair of late members joins: both ways give the components of all pairs."""
+    base = prose(50, 300).split()
+    listed = []
+    for k in range(24):
+        w = list(base)
+        for at in range(5):  # each is alike to the base, few to one another
+            w[(11 * k + 59 * at) % 300] = f"x{k}y{at}"
+        listed.append((k, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t in listed]
+    alike = {(a, b) for a in range(24) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    label = list(range(24))
+    for a, b in sorted(alike) * 24:
+        label[a] = label[b] = min(label[a], label[b])
+    want = sorted({label[k] for k in range(24)})
+    assert alike and len(alike) < 24 * 23 // 2
+    for most in (512, 2):
+        monkeypatch.setattr(nearcopies, "MOST", most)
+        monkeypatch.setattr(nearcopies, "PIVOTS", 1)
+        assert sorted(r.doc_id for r in simhash.keep_one(make_docs(listed)).collect()) == want
+
+
 def test_keep_one_picks_rows(spark, make_docs, prose):
     a, b = prose(1, 50), prose(2, 50)
     twice = simhash.keep_one(make_docs([(5, a), (5, b), (6, a), (7, b)])).collect()
