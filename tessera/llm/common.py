@@ -62,15 +62,27 @@ def _remove_at_exit(sc, path: str) -> None:
         _remove(sc, path)
 
 
-def materialize(df: DataFrame, light: bool = False) -> DataFrame:
+#: Small rows of a scratch file; a file also costs its folder, its checksum and their permissions.
+FILE_ROWS = 500_000
+
+
+def files_for(rows: int) -> int:
+    """How many files so many small rows are written to."""
+    return max(8, -(-rows // FILE_ROWS))
+
+
+def materialize(df: DataFrame, rows: int | None = None, dealt: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it.
 
-    Unlike a local checkpoint the rows survive the loss of any executor.  Of
-    ``light`` rows, that many tasks make a little of each, adaptive execution
-    makes a few files of its advised size.
+    Unlike a local checkpoint the rows survive the loss of any executor.  Where
+    ``rows``, about the number of small rows that the last step works on, is
+    given, they are written by as few tasks as have ``FILE_ROWS`` each; ``dealt``
+    moves them there first, for rows that many tasks make at some cost.
     """
     path = scratch_dir(df.sparkSession)
-    (df.hint("rebalance") if light else df).write.parquet(path)
+    if rows is not None:
+        df = df.repartition(files_for(rows)) if dealt else df.coalesce(files_for(rows))
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

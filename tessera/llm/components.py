@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen, before = mark, now
-        now = materialize(_small(_large(now)))
+        now = materialize(_small(_large(now)), 2 * mark[0])
         discard(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.distinct())

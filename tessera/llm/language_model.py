@@ -434,7 +434,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFram
     rest = totals - np.c_[own.sum(axis=1), (own > 0).sum(axis=1)]
     heads = Heads(hashes, slots)
     weights = train(blocks, start(totals, own), heads, max(1, -(-n // _BLOCKS_A_TASK)))
-    return Model(weights, heads, totals, rest), blocks, replies, shards, max(1, n)
+    return Model(weights, heads, totals, rest), blocks, replies, shards, max(1, -(-n // 2))
 
 
 def scores(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -127,7 +127,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The models, or None without labels of both kinds."""
-    chosen = materialize(labelled_sample(docs, labels, "quality", sample), light=True)
+    chosen = materialize(labelled_sample(docs, labels, "quality", sample))
     curved = bucket_of(F.col("doc_id"), 4) == 3
     kinds = {r.label for r in chosen.select("label").distinct().collect()}
     target = counts(chosen.where(~curved & (F.col("label") == 1)).select("label", "text")).get(1)
@@ -203,7 +203,7 @@ def draw(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, f
         light = docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))
         return None, light, 0.0
     scored = weighed(docs.select("doc_id", "text"), model, "log_weight").drop("text")
-    light = materialize(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"))), light=True)
+    light = materialize(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"))), docs.count(), dealt=True)
     k = round(light.agg(F.coalesce(F.sum(model.chance(F.col("log_weight"))), F.lit(0.0))).first()[0])
     return model, light, kth_largest(light, "gumbel_key", k)
 

@@ -99,15 +99,17 @@ def links(prints: DataFrame, crowded: int = CROWDED, groups: int | None = None,
     member at a shared neighbour rather than to every partner.  ``held`` gets
     the scratch tables that the edges are read from.
     """
-    groups = groups or groups_for(prints.count())
+    n = prints.count()
+    groups = groups or groups_for(n)
+    n_keyed = n * len(masks(groups))
     cell = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), embedding(F.col("fp")).bitwiseAND(F.lit(x)).alias("k")) for i, x in enumerate(masks(groups))]))
     keyed = prints.select("fp", cell.alias("c")).select("c.m", "c.k", "fp")
     # A cell of two needs no join: its smallest and largest members are the pair.
     cells = keyed.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
-    cells = materialize(cells)
+    cells = materialize(cells, n_keyed)
     twos = _near(cells.where("n = 2").select("u", "v"))
     crowds = cells.where("n > 2").select("m", "k", "n")
-    many = materialize(split_join(keyed, crowds, ["m", "k"], "n", prints.count() * len(masks(groups))))
+    many = materialize(split_join(keyed, crowds, ["m", "k"], "n", n_keyed), n_keyed)
     if held is not None:
         held += [cells, many]
     few = many.where(F.col("n") <= crowded)
@@ -122,15 +124,16 @@ def links(prints: DataFrame, crowded: int = CROWDED, groups: int | None = None,
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id, n_copies)`` of every row."""
-    prints = materialize(fingerprints(docs, text), light=True)
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")))
+    n = docs.count()
+    prints = materialize(fingerprints(docs, text), n, dealt=True)
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), n)
     held: list[DataFrame] = []
     roots = components(links(distinct.select("fp"), held=held))
     discard(*held)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    found = materialize(split_join(named, ids, ["root"], "n", distinct.count()).select("fp", "component_id", "n_copies"))
-    return split_join(prints, found, ["fp"], "n_copies", prints.count()).select("doc_id", "fp", "component_id", "n_copies")
+    found = materialize(split_join(named, ids, ["root"], "n", distinct.count()).select("fp", "component_id", "n_copies"), n)
+    return split_join(prints, found, ["fp"], "n_copies", n).select("doc_id", "fp", "component_id", "n_copies")
 
 
 def keep_one(docs: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:

@@ -342,7 +342,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     part = bucket_of(F.col("doc_id"), 4)
-    first = materialize(labelled_sample(docs, labels, "toxic", sample, part < 2).select("label", "text"), light=True)
+    first = materialize(labelled_sample(docs, labels, "toxic", sample, part < 2).select("label", "text"))
     lexicon, cols = learn_lexicon(first), [f"x{k}" for k in range(FEATURES)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(FEATURES))], names=["label", *cols])
 
-    second = materialize(labelled_sample(docs, labels, "toxic", sample, part == 3).select("label", "text"), light=True)
+    second = materialize(labelled_sample(docs, labels, "toxic", sample, part == 3).select("label", "text"))
     seen = in_arrow(second, measure, "label int, " + ", ".join(f"{n} double" for n in cols)).toPandas().sort_values([*cols, "label"])
     discard(first, second)
     curve = fit_logistic(seen[cols].to_numpy(), (seen["label"] == 1).to_numpy(float))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import plain_models
 import pytest
 
 from tessera.llm import language_model, quality, toxicity
@@ -56,51 +57,16 @@ def test_quality_keeps_good_documents(spark, labelled):
     assert 3000 in ids and None in ids
 
 
-def plain_grams(text):
-    """Buckets of a text's byte trigrams and of its words' repeats, one by one."""
-    data, out = b" " + (text or "").encode() + b" ", []
-    for x, y, z in zip(data, data[1:], data[2:]):
-        out.append((x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) % (1 << 32) >> (32 - quality.BITS))
-    words = (text or "").encode().split() if text and text.strip() else []
-    for k, w in enumerate(words):
-        out.append(quality.GRAMS + next((lag for lag in (1, 2, 3) if k >= lag and words[k - lag] == w), 0))
-    return out
-
-
 def test_quality_query_against_brute_force(spark, labelled, sf_dir):
     docs, labels = labelled
     got = quality.op7_quality(spark, sf_dir(documents=docs, labels=labels)).collect()
-    listed, marks = [(r.doc_id, r.text) for r in docs.collect()], {(r.doc_id, r.quality) for r in labels.collect() if r.doc_id is not None and r.quality is not None}
-    part = lambda i: zlib.crc32(str(i).encode()) % 4
-    texts = {}
-    for i, t in listed:
-        texts[i] = min(t or "", texts.get(i, t) or "")
-    target, raw = Counter(), Counter(b for _, t in listed for b in plain_grams(t))
-    for i, q in marks:
-        if q == 1 and i in texts and part(i) != 3:
-            target.update(plain_grams(texts[i]))
-    share = sum(target.values()) / sum(raw.values())
-    ratio = lambda b: math.log((target[b] + quality.PRIOR) / (raw[b] * share + quality.PRIOR))
-    weigh = lambda t: sum(ratio(b) for b in plain_grams(t))
-    curve = fit_logistic(np.array([[math.asinh(weigh(texts[i]))] for i, _ in sorted(marks) if i in texts and part(i) == 3]), np.array([float(q) for i, q in sorted(marks) if i in texts and part(i) == 3]))
-    seed = quality_hash((29).to_bytes(4, "little"), 42)
-    rows = []
-    for i, t in listed:
-        h = seed if i is None else quality_hash(i.to_bytes(8, "little", signed=True), seed)
-        u = ((h - (1 << 64) if h >> 63 else h) % (1 << 52) + 0.5) / (1 << 52)
-        rows.append((weigh(t) - math.log(-math.log(u)), i, weigh(t)))
-    rows.sort(key=lambda r: -r[0])
-    k = round(sum(1 / (1 + math.exp(-(curve[0] * math.asinh(w) + curve[1]))) for _, _, w in rows))
-    least = rows[k - 1][0] - 1e-9
-    want = sorted((str(i), round(w, 4), round(key, 4)) for key, i, w in rows if key >= least)
+    listed = [(r.doc_id, r.text) for r in docs.collect()]
+    marks = {(r.doc_id, r.quality) for r in labels.collect() if r.doc_id is not None and r.quality is not None}
+    want = sorted((str(i), round(w, 4), round(key, 4)) for i, _, w, key in plain_models.resampled(listed, marks))
     assert sorted((str(r.doc_id), round(r.log_weight, 4), round(r.gumbel_key, 4)) for r in got) == want
     assert 0 < len(want) < len(listed)
 
 
-def quality_hash(data, seed):
-    return language_model.xxhash.xxh64_intdigest(data, seed)
-
-
 def test_kth_largest(spark):
     rng = random.Random(3)
     values = [rng.choice([1.0, 2.0, rng.random()]) for _ in range(3000)]
