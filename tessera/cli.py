@@ -39,7 +39,8 @@ def spark_session() -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
-def main(args: Sequence[str] | None = None, keyword: str = "", spark: SparkSession | None = None) -> int:
+def main(args: Sequence[str] | None = None, keyword: str = "", spark: SparkSession | None = None, folder: str | None = None) -> int:
+    """Run one statement over the tables of ``folder``, by default the working one; the exit code."""
     args = list(sys.argv[1:] if args is None else args)
     if args[:1] in (["--help"], ["-h"], ["help"]):
         print(usage((args[1:2] or [keyword])[0].lower()))
@@ -52,7 +53,7 @@ def main(args: Sequence[str] | None = None, keyword: str = "", spark: SparkSessi
     spark = spark or spark_session()
     spark.sparkContext.setLogLevel("OFF")
     try:
-        result = Session(spark, FileStore(spark, os.getcwd())).sql(text)
+        result = Session(spark, FileStore(spark, folder or os.getcwd())).sql(text)
         if result.success:
             write_result(sys.stdout, result)
             return 0

@@ -153,7 +153,7 @@ class Value:
     @property
     def key(self) -> Column:
         """Equal texts for equal values, so that equality of ``DYN`` values can be hashed."""
-        return bound(lambda x: F.coalesce(x.number.cast("string"), x.text), self)
+        return bound(lambda x: F.coalesce((x.number + F.lit(0.0)).cast("string"), x.text), self)  # -0 is 0
 
     @property
     def output(self) -> Column:
@@ -266,9 +266,9 @@ def compare(op: str, a: Value, b: Value) -> Value:
         return Value(BOOL, same if op == "=" else ~same if op == "!=" else _ORDER[op](*pair), compound=True)
     if op in ("=", "!="):
         if NUM in (a.kind, b.kind) or BOOL in (a.kind, b.kind):
-            same = bound(lambda x, y: F.when(x.number.isNotNull() & y.number.isNotNull(), F.abs(x.number - y.number) < EPSILON).otherwise(x.text == y.text), a, b)
-        else:
-            same = a.key == b.key
+            same = a.number == b.number  # a key on either side that a join can hash; a text that is no number equals none
+            return Value(BOOL, same if op == "=" else ~a.is_null & ~b.is_null & ~F.coalesce(same, F.lit(False)), compound=True)
+        same = a.key == b.key
         return Value(BOOL, same if op == "=" else ~same, compound=True)
     by_kind = lambda x, y: F.when(x.number.isNotNull() & y.number.isNotNull(), _ORDER[op](x.number, y.number)).otherwise(_ORDER[op](x.text, y.text))
     return Value(BOOL, bound(by_kind, a, b), compound=True)

@@ -23,7 +23,10 @@ from tessera.plans.parser import parse_expression
 from tessera.plans.render import render, render_select
 from tessera.plans.scope import Column as Named
 from tessera.plans.scope import Scope, TableScope
-from tessera.sources.base import ORDER, Column, Store, Table, auto_place, place, without_auto
+from tessera.sources.base import HIT, ORDER, Column, Store, Table, auto_place, place, without_auto
+
+#: Rows, as a power of two, that are numbered in one task.
+SPAN_BITS = 20
 
 
 class Changes:
@@ -75,8 +78,8 @@ class Changes:
         if not s.replace and (old is not None or self.store.has_table(s.view)):
             raise SqlError(f"Table or view already exists: {s.view.name}")
         self.store.put_view(s.view, render_select(s.select, stored=True))
-        try:  # planned, cycles included, and run for a row: a view that cannot run is not kept
-            sorted_rows(self._planner().relation(s.view)).limit(1).collect()
+        try:  # planned, cycles included, and run over all rows: a view that fails on any is not kept
+            sorted_rows(self._planner().relation(s.view)).write.format("noop").mode("overwrite").save()
         except Exception:
             self.store.drop_view(s.view) if old is None else self.store.put_view(s.view, old)
             raise
@@ -169,22 +172,18 @@ class Changes:
         table = self._to_change(s.table)
         places = [place(table.columns, c) for c, _ in s.assignments]
         hit = self._row_value(s.table, table.columns, s.where).truth if s.where else F.lit(True)
-        df = table.df.withColumn("_hit", hit)
+        df = table.df.withColumn(HIT, hit)
         for at, (_, e) in zip(places, s.assignments):  # each sees what those before it have set
             value = self._row_value(s.table, table.columns, e)
             text = F.lit(None).cast("string") if value.kind == v.NULL else value.text
-            df = df.withColumn(f"c{at}", F.when(F.col("_hit"), text).otherwise(F.col(f"c{at}")))
-        affected = df.where("_hit").count()
-        if affected:
-            self.store.save(s.table, table.columns, df.drop("_hit"))
+            df = df.withColumn(f"c{at}", F.when(F.col(HIT), text).otherwise(F.col(f"c{at}")))
+        affected = self.store.change(s.table, table.columns, df, drop_hits=False)
         return affected, f"Updated {affected} row(s) in '{s.table.name}'"
 
     def _delete(self, s: n.Delete) -> tuple[int, str]:
         table = self._to_change(s.table)
         hit = self._row_value(s.table, table.columns, s.where).truth if s.where else F.lit(True)
-        affected = table.df.where(hit).count()
-        if affected:
-            self.store.save(s.table, table.columns, table.df.where(~hit))
+        affected = self.store.change(s.table, table.columns, table.df.withColumn(HIT, hit), drop_hits=True)
         return affected, f"Deleted {affected} row(s) from '{s.table.name}'"
 
 
@@ -193,9 +192,19 @@ def _column(c: n.ColumnDef) -> Column:
 
 
 def _numbered(df: DataFrame, at: int) -> DataFrame:
-    """Blank values of a column filled, in order, with the numbers after its greatest."""
-    name = f"c{at}"
+    """Blank values of a column filled, in order, with the numbers after its greatest.
+
+    Rows are numbered within spans of the order, of at most ``2 ** SPAN_BITS``
+    rows each, and every span after those before it: only the spans' counts
+    come together.
+    """
+    name, span, before = f"c{at}", "_span", "_before"
     blank = F.coalesce(F.col(name), F.lit("")) == ""
     most = F.coalesce(df.agg(F.max(number_of(F.col(name))).alias("m")).scalar(), F.lit(0.0)).cast("long")
-    rank = F.row_number().over(W.partitionBy(blank).orderBy(ORDER))
-    return df.withColumn(name, F.when(blank, (most + rank).cast("string")).otherwise(F.col(name)))
+    rows = df.withColumn(span, F.shiftright(ORDER, SPAN_BITS))
+    counts = rows.groupBy(span).agg(F.count_if(blank).alias("n"))
+    earlier = F.sum("n").over(W.orderBy(span).rowsBetween(W.unboundedPreceding, -1))
+    spans = counts.select(span, F.coalesce(earlier, F.lit(0)).alias(before))
+    rank = F.row_number().over(W.partitionBy(span, blank).orderBy(ORDER))
+    filled = F.when(blank, (most + F.col(before) + rank).cast("string")).otherwise(F.col(name))
+    return rows.join(spans, span).withColumn(name, filled).drop(span, before)

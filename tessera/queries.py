@@ -6,6 +6,9 @@ order of addition, so both sides round them, outside the dialect.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import os
 import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -13,12 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import cli
+from tessera.console import write_result
+from tessera.errors import SqlError
 from tessera.plans.nodes import Relation
 from tessera.session import Session
 from tessera.sources.base import ORDER, Column
 from tessera.sources.files import FileStore
 from tessera.sources.memory import MemoryStore
-from tessera.tablegen import people
+from tessera.streaming.rows import drive
+from tessera.tablegen import NAMES, PLACES, people
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,12 +87,16 @@ def copy_as_text(session: Session, name: str) -> None:
     """Make ``<name>_copy``, a table of text that statements can change."""
     df = session.store.read(Relation(name)).df
     columns = session.store.describe(Relation(name))
-    texts = df.select(*[F.col(f"c{k}").cast("string").alias(f"c{k}") for k in range(len(columns))], F.col("c0").cast("long").alias(ORDER))
+    plain = {"double": lambda c: F.round(c).cast("long"), "timestamp": F.to_date, "timestamp_ntz": F.to_date}  # of which both engines write the same text
+    texts = df.select(*[plain.get(kind, lambda x: x)(F.col(c)).cast("string").alias(c) for c, kind in df.dtypes], F.col("c0").cast("long").alias(ORDER))
     session.store.save(Relation(f"{name}_copy"), [Column(c.name) for c in columns], texts)
 
 
 NATION_TEXT = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
 
+ORDERS_STATUS = "CASE WHEN o_orderstatus IN ('F', 'P') THEN o_orderstatus || '/' || o_orderpriority ELSE o_orderstatus END AS o_orderstatus"
+ORDERS_TEXT = f"SELECT * FROM (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, {ORDERS_STATUS}, CAST(round(o_totalprice) AS BIGINT)::VARCHAR AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders)"
+
 CASES: dict[str, Case] = {
     # Projection and scalar operators.
     "q_scan_all": Case("SELECT * FROM nation", "SELECT * FROM nation"),
@@ -129,7 +140,7 @@ CASES: dict[str, Case] = {
     "q_join_self": Case("SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a, supplier b WHERE a.s_nationkey = b.s_nationkey AND a.s_suppkey != b.s_suppkey", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey"),
     "q_join_product": Case("SELECT * FROM region, nation", 'SELECT r_regionkey AS "region.r_regionkey", r_name AS "region.r_name", n_nationkey AS "nation.n_nationkey", n_name AS "nation.n_name", n_regionkey AS "nation.n_regionkey" FROM region, nation'),
     "q_join_derived": Case("SELECT d.k, d.n, n_name FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey) d, nation WHERE d.k = n_nationkey", 'SELECT k AS "d.k", n AS "d.n", n_name FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL) JOIN nation ON k = n_nationkey'),
-    "q_path_source": Case("SELECT r_name FROM region r WHERE r.r_regionkey > 1", "SELECT r_name FROM region WHERE r_regionkey > 1"),
+    "q_source_alias": Case("SELECT r_name FROM region r WHERE r.r_regionkey > 1", "SELECT r_name FROM region WHERE r_regionkey > 1"),
     # Subqueries.
     "q_sub_scalar": Case("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)"),
     "q_sub_projection": Case("SELECT r_name, (SELECT COUNT(*) FROM nation) AS n, EXISTS (SELECT * FROM nation WHERE n_nationkey > 99) AS e FROM region", "SELECT r_name, (SELECT count(*) FROM nation) AS n, 0 AS e FROM region"),
@@ -139,6 +150,8 @@ CASES: dict[str, Case] = {
     "q_sub_in_nested": Case("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has FROM customer WHERE c_nationkey = 1 OR c_custkey NOT IN (SELECT o_custkey FROM orders)", "SELECT c_custkey, (c_custkey IN (SELECT o_custkey FROM orders))::INT AS has FROM customer WHERE c_nationkey = 1 OR c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "q_sub_any": Case("SELECT p_partkey FROM part WHERE p_size > ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 4) AND p_size = ANY (SELECT n_nationkey FROM nation) AND p_size != ANY (SELECT n_nationkey FROM nation WHERE n_nationkey = 8)", "SELECT p_partkey FROM part WHERE p_size > (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 4) AND p_size IN (SELECT n_nationkey FROM nation) AND p_size <> 8"),
     "q_sub_all": Case("SELECT p_partkey FROM part WHERE p_size >= ALL (SELECT n_nationkey FROM nation) AND p_size != ALL (SELECT n_nationkey + 10 FROM nation)", "SELECT p_partkey FROM part WHERE p_size >= (SELECT max(n_nationkey) FROM nation) AND p_size NOT IN (SELECT n_nationkey + 10 FROM nation)"),
+    "q_sub_having": Case("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > (SELECT COUNT(*) FROM region) + 5", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 5 + (SELECT count(*) FROM region)"),
+    "q_sub_between": Case("SELECT p_partkey FROM part WHERE p_size BETWEEN (SELECT MAX(n_regionkey) FROM nation) AND (SELECT MAX(n_nationkey) FROM nation)", "SELECT p_partkey FROM part WHERE p_size BETWEEN (SELECT max(n_regionkey) FROM nation) AND (SELECT max(n_nationkey) FROM nation)"),
     "q_sub_all_empty": Case("SELECT r_name FROM region WHERE r_regionkey < ALL (SELECT n_nationkey FROM nation WHERE n_name = 'none') AND NOT (r_regionkey < ANY (SELECT n_nationkey FROM nation WHERE n_name = 'none'))", "SELECT r_name FROM region"),
     # Shape of results.
     "q_shape_distinct": Case("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer"),
@@ -148,41 +161,193 @@ CASES: dict[str, Case] = {
     "q_shape_top_k": Case("SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25", "SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25"),
     "q_shape_order_expr": Case("SELECT n_name FROM nation ORDER BY n_regionkey * 2 - n_nationkey DESC, n_name LIMIT 7", "SELECT n_name FROM nation ORDER BY n_regionkey * 2 - n_nationkey DESC, n_name LIMIT 7"),
     # Views.
-    "q_view": Case("SELECT * FROM big WHERE o_custkey < 500", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 AND o_custkey < 500", ["CREATE VIEW big AS SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000"]),
-    "q_view_nested": Case("SELECT k, COUNT(*) AS n FROM w GROUP BY k", "SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_custkey % 2 = 0 GROUP BY ALL", ["CREATE VIEW v AS SELECT c_custkey, c_nationkey AS k FROM customer WHERE c_acctbal > 0", "CREATE VIEW w AS SELECT k FROM v", "ALTER VIEW w AS SELECT k FROM v WHERE c_custkey % 2 = 0"]),
+    "q_view": Case("SELECT * FROM big WHERE o_orderstatus != 'F'", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 100000 AND o_orderstatus <> 'F'", ["CREATE VIEW big AS SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 100000"]),
+    "q_view_nested": Case("SELECT k, COUNT(*) AS n FROM w GROUP BY k", "SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING' GROUP BY ALL", ["CREATE VIEW v AS SELECT c_mktsegment, c_nationkey AS k FROM customer WHERE c_acctbal > 0", "CREATE VIEW w AS SELECT k FROM v", "ALTER VIEW w AS SELECT k FROM v WHERE c_mktsegment != 'BUILDING'"]),
     # Changes, over a copy of nation as text.
     "q_dml_insert": Case("SELECT * FROM nation_copy", f"{NATION_TEXT} UNION ALL VALUES ('90', 'NEW', '1'), ('91', 'ONLY', '')", ["INSERT INTO nation_copy VALUES (90, 'NEW', 1)", "INSERT INTO nation_copy (n_name, n_nationkey) VALUES (ONLY, 90 + 1)"], copied="nation"),
     "q_dml_update": Case("SELECT * FROM nation_copy", "SELECT CAST(CASE WHEN n_regionkey = 1 THEN n_nationkey + 100 ELSE n_nationkey END AS VARCHAR) AS n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name || '!' || (n_nationkey + 100) ELSE n_name END AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation", ["UPDATE nation_copy SET n_nationkey = n_nationkey + 100, n_name = n_name + '!' + n_nationkey WHERE n_regionkey = 1"], copied="nation"),
     "q_dml_delete": Case("SELECT * FROM nation_copy", f"SELECT * FROM ({NATION_TEXT}) WHERE n_nationkey NOT IN ('3', '4') AND n_regionkey <> '2'", ["DELETE FROM nation_copy WHERE n_nationkey IN (3, 4) OR n_regionkey = (SELECT MAX(r_regionkey) FROM region WHERE r_regionkey < 3)"], copied="nation"),
+    "q_dml_orders": Case("SELECT * FROM orders_copy", f"{ORDERS_TEXT} WHERE o_orderpriority <> '1-URGENT' UNION ALL VALUES ('0', '', 'N', '1.5', '', '')", ["UPDATE orders_copy SET o_orderstatus = o_orderstatus + '/' + o_orderpriority WHERE o_orderstatus IN (F, P)", "DELETE FROM orders_copy WHERE o_orderpriority = '1-URGENT'", "INSERT INTO orders_copy (o_orderkey, o_orderstatus, o_totalprice) VALUES (0, N, 3 / 2)"], copied="orders"),
     "q_dml_subquery": Case("SELECT * FROM t", "SELECT '25' AS n, '4' AS m", ["CREATE TABLE t (n = (SELECT COUNT(*) FROM nation), m)", "INSERT INTO t (m) VALUES ((SELECT MAX(r_regionkey) FROM region))"]),
     "q_ddl_defaults": Case("SELECT id, a, b FROM t", "SELECT * FROM (VALUES ('1', 'x', '3'), ('2', 'y', '3'), ('9', 'z', ''), ('10', 'd', '3')) t(id, a, b)", ["CREATE TABLE t (id AUTO_INCREMENT, a = 'd', b = 1 + 2)", "INSERT INTO t (a) VALUES ('x')", "INSERT INTO t (a) VALUES ('y')", "INSERT INTO t VALUES (9, 'z', '')", "INSERT INTO t VALUES ()"]),
     "q_ddl_alter": Case("SELECT * FROM nation_copy", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name AS title, CAST(n_nationkey * 2 AS VARCHAR) AS twice, CAST(row_number() OVER (ORDER BY n_nationkey) AS VARCHAR) AS id FROM nation", ["ALTER TABLE nation_copy DROP COLUMN n_regionkey", "ALTER TABLE nation_copy RENAME COLUMN n_name TO title", "ALTER TABLE nation_copy ADD COLUMN twice = n_nationkey * 2", "ALTER TABLE nation_copy ADD COLUMN id AUTO_INCREMENT"], copied="nation"),
+    "q_ddl_set_default": Case("SELECT n_name, n_regionkey FROM nation_copy WHERE n_nationkey >= 90", "SELECT * FROM (VALUES ('none', '7')) t(n_name, n_regionkey)", ["ALTER TABLE nation_copy ALTER COLUMN n_name SET DEFAULT 'no' + 'ne'", "INSERT INTO nation_copy (n_nationkey, n_regionkey) VALUES (90, 3 + 4)"], copied="nation"),
+    "q_ddl_drop_default": Case("SELECT a, b FROM t", "SELECT * FROM (VALUES ('1', 'd'), ('2', '')) t(a, b)", ["CREATE TABLE t (a, b = 'd')", "INSERT INTO t (a) VALUES (1)", "ALTER TABLE t ALTER COLUMN b DROP DEFAULT", "INSERT INTO t (a) VALUES (2)"]),
+    "q_ddl_set_auto": Case("SELECT * FROM nation_copy", f"{NATION_TEXT} UNION ALL VALUES ('99', 'NEXT', '5')", ["INSERT INTO nation_copy VALUES (98, 'LAST', 4)", "ALTER TABLE nation_copy ALTER COLUMN n_nationkey SET AUTO_INCREMENT", "INSERT INTO nation_copy (n_name, n_regionkey) VALUES (NEXT, 5)", "DELETE FROM nation_copy WHERE n_nationkey = 98"], copied="nation"),
+    "q_ddl_drop_auto": Case("SELECT id, a FROM t", "SELECT * FROM (VALUES ('1', 'x'), ('', 'y')) t(id, a)", ["CREATE TABLE t (id AUTO_INCREMENT, a)", "INSERT INTO t (a) VALUES (x)", "ALTER TABLE t ALTER COLUMN id DROP AUTO_INCREMENT", "INSERT INTO t (a) VALUES (y)"]),
+    "q_ddl_drop_table": Case("SELECT * FROM t", "SELECT '5' AS z", ["CREATE TABLE t (a, b)", "INSERT INTO t VALUES (1, 2)", "DROP TABLE t", "CREATE TABLE t (z)", "INSERT INTO t VALUES (5)"]),
+    "q_ddl_drop_view": Case("SELECT r_name FROM v", "SELECT r_name FROM region WHERE r_regionkey <> 2", ["CREATE VIEW v AS SELECT r_regionkey FROM region", "DROP VIEW v", "CREATE VIEW v AS SELECT r_name FROM region WHERE r_regionkey != 2"]),
+    "q_ddl_renumber": Case("SELECT * FROM orders_copy", f"SELECT *, CAST(row_number() OVER (ORDER BY CAST(o_orderkey AS BIGINT)) AS VARCHAR) AS id FROM ({ORDERS_TEXT.replace(ORDERS_STATUS, 'o_orderstatus')})", ["ALTER TABLE orders_copy ADD COLUMN id AUTO_INCREMENT"], copied="orders"),
     "q_text_dynamic": Case("SELECT n_name, n_nationkey / 4 AS q, n_nationkey > '9' AS big FROM nation_copy WHERE n_nationkey > 5 ORDER BY n_nationkey DESC LIMIT 12", "SELECT n_name, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey // 4 AS VARCHAR) ELSE rtrim(printf('%.2f', n_nationkey / 4.0), '0') END AS q, CAST((n_nationkey > 9)::INT AS VARCHAR) AS big FROM nation WHERE n_nationkey > 5 ORDER BY n_nationkey DESC LIMIT 12", copied="nation"),
     "q_text_group": Case("SELECT n_regionkey, COUNT(*) AS n, MIN(n_nationkey) AS lo, MAX(n_name) AS hi, SUM(n_nationkey) AS s FROM nation_copy GROUP BY n_regionkey HAVING COUNT(*) > 2 LIMIT 4", "SELECT CAST(n_regionkey AS VARCHAR) AS n_regionkey, CAST(count(*) AS VARCHAR) AS n, CAST(min(n_nationkey) AS VARCHAR) AS lo, max(n_name) AS hi, CAST(sum(n_nationkey) AS VARCHAR) AS s FROM nation GROUP BY nation.n_regionkey HAVING count(*) > 2 ORDER BY min(n_nationkey) LIMIT 4", copied="nation"),
     "q_text_join": Case("SELECT a.n_name AS x, r_name AS y FROM nation_copy a, region WHERE a.n_regionkey = r_regionkey AND a.n_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)", "SELECT n_name AS x, r_name AS y FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey < 3", copied="nation"),
     "q_now": Case("SELECT r_name, NOW() AS t FROM region", None),
+    "q_now_compared": Case("SELECT r_name, NOW() > '2000-01-01 00:00:00' AS later, NOW() REGEXP '^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$' AS shape FROM region", "SELECT r_name, 1 AS later, 1 AS shape FROM region"),
 }
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for tables of files, in the shared folder where that is a mounted one."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "").removeprefix("file://").removeprefix("file:")
+    return tempfile.mkdtemp(prefix="tessera-", dir=root if os.path.isdir(root) else None)
+
+
+def _done(session: Session, *texts: str) -> Session:
+    for text in texts:
+        result = session.sql(text)
+        if not result.success:
+            raise RuntimeError(f"{text}: {result.error}")
+    return session
+
+
+def _as_files(spark: SparkSession, sf_dir: str, name: str, extension: str) -> Session:
+    """A session over a folder with a table written as a file of the format."""
+    with_tables = session_over(spark, sf_dir)
+    copy_as_text(with_tables, name)
+    store = FileStore(spark, _folder(spark), default=extension)
+    held = with_tables.store.read(Relation(f"{name}_copy"))
+    store.save(Relation(name), held.columns, held.df)
+    return Session(spark, store)
+
+
 def _format_query(extension: str) -> Query:
     """Write a table as a file of the format, change it, and read it back by name and by path."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with_tables = session_over(spark, sf_dir)
-        copy_as_text(with_tables, "region")
-        store = FileStore(spark, tempfile.mkdtemp(prefix="tessera-"), default=extension)
-        held = with_tables.store.read(Relation("region_copy"))
-        store.save(Relation("region"), held.columns, held.df)
-        session = Session(spark, store)
-        for text in ("INSERT INTO region VALUES (77, 'a \"quoted\", <b> & it''s')", "INSERT INTO region VALUES (78, NULL)", "UPDATE region SET r_name = r_name + '!' WHERE r_regionkey = 2", f"INSERT INTO 'region.{extension}' VALUES (79, '')"):
-            result = session.sql(text)
-            if not result.success:
-                raise RuntimeError(result.error)
+        session = _as_files(spark, sf_dir, "region", extension)
+        _done(session, "INSERT INTO region VALUES (77, 'a \"quoted\", <b> & it''s')", "INSERT INTO region VALUES (78, NULL)", "UPDATE region SET r_name = r_name + '!' WHERE r_regionkey = 2", f"INSERT INTO 'region.{extension}' VALUES (79, '')")
         return session.table("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey")
 
     return run
 
 
+def _format_orders(extension: str) -> Query:
+    """A larger table through a file of the format: written, changed and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = _as_files(spark, sf_dir, "orders", extension)
+        _done(session, "UPDATE orders SET o_orderstatus = o_orderstatus + '/' + o_orderpriority WHERE o_orderstatus IN (F, P)", "DELETE FROM orders WHERE o_orderpriority = '1-URGENT'")
+        return session.table("SELECT * FROM orders")
+
+    return run
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path in quotes, a bare name with an extension, and a Parquet file by its path, in one statement."""
+    session = _as_files(spark, sf_dir, "region", "json")
+    return session.table(f"SELECT a.r_name AS x, region.r_name AS y, n_name FROM '{session.store.root}/region.json' a, region.json, '{sf_dir}/nation.parquet' n WHERE a.r_regionkey = region.r_regionkey AND n.n_regionkey = a.r_regionkey")
+
+
+def _sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers go on from the counter beside the file, though the row of the greatest is gone."""
+    session = _done(Session(spark, FileStore(spark, _folder(spark))), "CREATE TABLE t (id AUTO_INCREMENT, a)", "INSERT INTO t (a) VALUES (x)", "INSERT INTO t VALUES (7, y)", "INSERT INTO t (a) VALUES (z)")
+    again = Session(spark, FileStore(spark, session.store.root))  # nothing but the files is left
+    return _done(again, "INSERT INTO t (a) VALUES (w)").table("SELECT id, a FROM t")
+
+
+def _file_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views kept beside files, changed, dropped and read by another session; a dropped table frees its name."""
+    session = _done(_as_files(spark, sf_dir, "nation", "csv"), "CREATE VIEW v AS SELECT n_name AS n, n_regionkey AS r FROM nation", "ALTER VIEW v AS SELECT n_name AS n, n_regionkey AS r FROM nation WHERE n_regionkey > 1", "CREATE VIEW gone AS SELECT n FROM v", "DROP VIEW gone")
+    _done(session, "CREATE TABLE gone (a)", "DROP TABLE gone", "CREATE TABLE gone (k)", "INSERT INTO gone VALUES (2)")
+    return Session(spark, FileStore(spark, session.store.root)).table("SELECT n FROM v, gone WHERE r = k")
+
+
+def _lines(spark: SparkSession, lines: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What statements say they did."""
+    session = session_over(spark, sf_dir)
+    copy_as_text(session, "nation")
+    return _lines(spark, [session.sql(text).message for text in _SAID])
+
+
+_SAID = {
+    "CREATE TABLE t (id AUTO_INCREMENT, a = 1)": "Created table 't'",
+    "INSERT INTO t (a) VALUES (2)": "Inserted 1 row into 't'",
+    "UPDATE nation_copy SET n_name = x WHERE n_regionkey = 1": "Updated 5 row(s) in 'nation_copy'",
+    "DELETE FROM nation_copy WHERE n_regionkey = 1": "Deleted 5 row(s) from 'nation_copy'",
+    "DELETE FROM nation_copy WHERE n_regionkey = 1 ": "Deleted 0 row(s) from 'nation_copy'",
+    "CREATE VIEW v AS SELECT a FROM t": "Created view 'v'",
+    "ALTER VIEW v AS SELECT id FROM t": "Altered view 'v'",
+    "DROP VIEW v": "Dropped view 'v'",
+    "ALTER TABLE t DROP COLUMN a": "Altered table 't'",
+    "DROP TABLE t": "Dropped table 't'",
+    "SELECT n_name FROM nation_copy WHERE n_regionkey = 2": "5 row(s) selected",
+}
+
+#: Statements that must be refused: names that do not resolve, columns outside groups, aliases and places in ORDER BY, broken texts.
+_REFUSED = (
+    "SELECT nothing FROM nation",
+    "SELECT N_NAME FROM nation",
+    "SELECT n_name FROM nation ORDER BY nothing",
+    "SELECT n_name AS x FROM nation ORDER BY x",
+    "SELECT n_regionkey, COUNT(*) FROM nation",
+    "SELECT n_name FROM nation GROUP BY n_regionkey",
+    "SELECT COUNT(*) FROM nation GROUP BY n_regionkey + 1",
+    "SELECT n_name FROM nation HAVING COUNT(*) > 1",
+    "SELECT n_name FROM nation WHERE COUNT(*) > 1",
+    "SELECT n_name FROM nation, customer WHERE c_nationkey = nation.nothing",
+    "SELECT n_name FROM nowhere",
+    "SELECT n_name FROM",
+    "SELECT n_name FROM nation LIMIT -1",
+    "DROP VIEW nation_copy",
+    "DROP TABLE nothing",
+)
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = session_over(spark, sf_dir)
+    copy_as_text(session, "nation")
+
+    def holds(text: str) -> str:
+        try:
+            return "done" if session.sql(text).success else "refused"
+        except SqlError:
+            return "refused"
+
+    return _lines(spark, [holds(text) for text in _REFUSED])
+
+
+def _pulled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows pulled from a result one by one until the consumer has enough, then again from the start; NULL is shown."""
+    session = session_over(spark, sf_dir)
+    copy_as_text(session, "nation")
+    _done(session, "UPDATE nation_copy SET n_regionkey = NULL WHERE n_nationkey = 3")
+    rows, out = session.sql("SELECT n_nationkey, n_regionkey FROM nation_copy LIMIT 8 OFFSET 1").rows, []
+    n = drive(iter(rows), lambda row: out.append(f"{row[0]}:{row[1]}") or len(out) < 5)
+    return _lines(spark, [*out, f"{n} pulled", f"{sum(1 for _ in rows)} in all"])
+
+
+def _console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = io.StringIO()
+    session = _done(Session(spark), "CREATE TABLE t (name, n)", "INSERT INTO t VALUES (abc, 3)", "INSERT INTO t VALUES (x, NULL)")
+    for text in ("SELECT name, n / 2 AS half FROM t", "DELETE FROM t WHERE n = 3"):
+        write_result(out, session.sql(text))
+    return _lines(spark, out.getvalue().splitlines())
+
+
+_CONSOLE = ["+------+------+", "| name | half |", "+------+------+", "| abc  | 1.5  |", "| x    | NULL |", "+------+------+", "2 row(s) selected", "Deleted 1 row(s) from 't'"]
+
+
+def _command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements as arguments and with their keyword in front, and the help texts."""
+    out, folder = io.StringIO(), _folder(spark)
+    with contextlib.redirect_stdout(out):
+        for words, keyword in ((["TABLE", "t", "(a)"], "CREATE"), (["INTO", "t", "VALUES", "(5)"], "INSERT"), (["SELECT", "a", "FROM", "t"], ""), (["--help", "insert"], ""), (["help"], "DELETE")):
+            cli.main(words, keyword, spark, folder)
+    return _lines(spark, out.getvalue().splitlines())
+
+
+_COMMAND_LINE = ["Created table 't'", "Inserted 1 row into 't'", "+---+", "| a |", "+---+", "| 5 |", "+---+", "1 row(s) selected", "INSERT INTO table [(column, ...)] VALUES (expr, ...)", "DELETE FROM table [WHERE expr]"]
+
+
+def _lines_sql(lines: Sequence[str]) -> str:
+    quoted = [x.replace("'", "''") for x in lines]
+    return "SELECT CAST(k AS INT) AS k, line FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(quoted)) + ") t(k, line)"
+
+
 _FORMAT_SQL = """SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, CASE WHEN r_regionkey = 2 THEN r_name || '!' ELSE r_name END AS r_name FROM region
 UNION ALL VALUES ('77', 'a "quoted", <b> & it''s'), ('78', NULL), ('79', '')"""
 _FORMATS = ("csv", "json", "toml", "yaml", "xml")
@@ -210,6 +375,20 @@ CASES |= {f"q_{name}": Case(text, _FLAGSHIP_SQL[name], rounded=_ROUNDED[name]) f
 
 QUERIES: dict[str, Query] = {name: case.run for name, case in CASES.items()}
 QUERIES |= {f"q_format_{x}": _format_query(x) for x in _FORMATS}
-QUERIES["q_table_generator"] = _generated
+QUERIES |= {f"q_format_orders_{x}": _format_orders(x) for x in _FORMATS}
+QUERIES |= {"q_table_generator": _generated, "q_path_source": _paths, "q_auto_sidecar": _sidecar, "q_file_views": _file_views, "q_messages": _messages, "q_refused": _refused, "q_rows_pulled": _pulled, "q_console": _console, "q_command_line": _command_line}
 
 ORACLES: dict[str, str] = {name: case.sql for name, case in CASES.items() if case.sql} | {f"q_format_{x}": _FORMAT_SQL for x in _FORMATS}
+ORACLES |= {f"q_format_orders_{x}": f"{ORDERS_TEXT} WHERE o_orderpriority <> '1-URGENT'" for x in _FORMATS}
+_DRAWN = "('0x' || substr(md5('42:{}:' || id), 1, 8))::BIGINT"
+ORACLES |= {
+    "q_table_generator": f"SELECT id::VARCHAR AS id, {NAMES}[{_DRAWN.format(1)} % {len(NAMES)} + 1] AS name, {[p[0] for p in PLACES]}[{_DRAWN.format(2)} % {len(PLACES)} + 1] AS city, {[p[1] for p in PLACES]}[{_DRAWN.format(2)} % {len(PLACES)} + 1] AS country FROM range(1, 1001) t(id)",
+    "q_path_source": "SELECT r_name AS x, r_name AS y, n_name FROM region JOIN nation ON n_regionkey = r_regionkey",
+    "q_auto_sidecar": "SELECT * FROM (VALUES ('1', 'x'), ('7', 'y'), ('8', 'z'), ('9', 'w')) t(id, a)",
+    "q_file_views": "SELECT n_name AS n FROM nation WHERE n_regionkey = 2",
+    "q_messages": _lines_sql(list(_SAID.values())),
+    "q_refused": _lines_sql(["refused"] * len(_REFUSED)),
+    "q_rows_pulled": _lines_sql(["1:1", "2:2", "3:NULL", "4:4", "5:0", "5 pulled", "8 in all"]),
+    "q_console": _lines_sql(_CONSOLE),
+    "q_command_line": _lines_sql(_COMMAND_LINE),
+}

@@ -14,6 +14,8 @@ from tessera.plans.nodes import Relation
 
 #: The hidden column that holds the order of stored rows.
 ORDER = "_ord"
+#: The hidden column that says which rows a change is about.
+HIT = "_hit"
 _STORED = re.compile(r"(?s)(?P<name>.*?)(?P<auto> AUTO_INCREMENT)?(?: DEFAULT\((?P<default>.*)\))?\Z")
 
 
@@ -83,6 +85,13 @@ class Store(ABC):
     def save(self, table: Relation, columns: Sequence[Column], df: DataFrame | None) -> None:
         """Write the table anew: ``df`` as in ``Table``, or no rows."""
 
+    @abstractmethod
+    def change(self, table: Relation, columns: Sequence[Column], df: DataFrame, drop_hits: bool) -> int:
+        """Write the table anew from ``df``, which has ``HIT`` beside a table's columns, and count its hits in the same pass.
+
+        Without hits the table stays as it is; ``drop_hits`` leaves them out.
+        """
+
     @abstractmethod
     def append(self, table: Relation, row: list[str | None]) -> None: ...
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.errors import SqlError
 from tessera.functions.values import number_of
 from tessera.plans.nodes import Relation
-from tessera.sources.base import ORDER, Column, Store, Table, auto_place
+from tessera.sources.base import HIT, ORDER, Column, Store, Table, auto_place
 from tessera.sources.formats import FORMATS, Format, read_header
 
 _JOURNAL, _COUNTER, _VIEW = ".append", ".autoincrement", ".view.sql"
@@ -98,32 +98,47 @@ class FileStore(Store):
         if path is None:
             base = self._base(table)
             path = base if base.rsplit(".", 1)[-1] in FORMATS else f"{base}.{self.default}"
-        kind = self._format(path)
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        new, auto = path + ".new", auto_place(columns)
+        self._swap(path, columns, df, False)
+
+    def change(self, table: Relation, columns: Sequence[Column], df: DataFrame, drop_hits: bool) -> int:
+        return self._swap(self._path(table), columns, df, drop_hits)
+
+    def _swap(self, path: str, columns: Sequence[Column], df: DataFrame | None, drop_hits: bool) -> int:
+        """Put a new file in the place of the old one, unless ``df`` has ``HIT`` and no hits; returns their number."""
+        new, auto, kind = path + ".new", auto_place(columns), self._format(path)
         try:
-            most = self._write(new, kind, columns, df)
+            most, hits = self._write(new, kind, columns, df, drop_hits)
         except BaseException:
             os.remove(new)
             raise
+        if df is not None and HIT in df.columns and not hits:
+            os.remove(new)
+            return 0
         os.replace(new, path)
         for sidecar in (_JOURNAL, _COUNTER):
             if os.path.exists(path + sidecar):
                 os.remove(path + sidecar)
         if auto is not None:
             self._count(path, (most or 0) + 1)
+        return hits
 
-    def _write(self, path: str, kind: Format, columns: Sequence[Column], df: DataFrame | None) -> int | None:
-        """Write a whole file; returns the greatest number of its AUTO_INCREMENT column."""
-        names, auto, most = [c.stored for c in columns], auto_place(columns), None
+    def _write(self, path: str, kind: Format, columns: Sequence[Column], df: DataFrame | None, drop_hits: bool) -> tuple[int | None, int]:
+        """Write a whole file; returns the greatest number of its AUTO_INCREMENT column, and the number of hits."""
+        names, auto, most, hits = [c.stored for c in columns], auto_place(columns), None, 0
         with open(path, "w", encoding="utf-8", newline="") as f:
             f.write(kind.opening(names))
             if df is not None:
                 values = F.array(*[F.coalesce(f"c{k}", F.lit(self.null_text)) for k in range(len(columns))])
                 number = number_of(F.col(f"c{auto}")) if auto is not None else F.lit(None)
-                lines = df.orderBy(ORDER).select(kind.line(values).alias("line"), number.cast("long").alias("n"))
+                hit = F.col(HIT) if HIT in df.columns else F.lit(False)
+                line = F.when(hit & drop_hits, None).otherwise(kind.line(values))
+                lines = df.orderBy(ORDER).select(line.alias("line"), number.cast("long").alias("n"), hit.alias("hit"))
                 first = True
                 for row in lines.toLocalIterator(prefetchPartitions=True):  # a stream: memory does not grow with the table
+                    hits += row.hit
+                    if row.line is None:
+                        continue
                     f.write(("" if first else kind.between + "\n") + row.line)
                     first = False
                     most = max(most or 0, row.n) if row.n is not None else most
@@ -131,7 +146,7 @@ class FileStore(Store):
             f.write(kind.closing(names))
             f.flush()
             os.fsync(f.fileno())
-        return most
+        return most, hits
 
     def _count(self, path: str, number: int) -> None:
         with open(path + _COUNTER, "w", encoding="utf-8") as f:

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from tessera.errors import SqlError
 
 _ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("\n", "&#10;"), ("\r", "&#13;"))
-_HEADER_BYTES = 1 << 20
+_READ = 1 << 20
 
 
 class Format(ABC):
     #: What stands between rows besides the line break.
     between = ""
+    #: Where the header is over.
+    body = "\n"
 
     @abstractmethod
     def header(self, text: str) -> list[str]:
@@ -56,9 +58,15 @@ class Csv(Format):
         return _split_csv(text.split("\n", 1)[0])
 
     def rows(self, spark: SparkSession, path: str, width: int) -> DataFrame:
-        fields = ", ".join(f"c{k} string" for k in range(width))
-        df = spark.read.schema(fields).csv(path, header=True, quote='"', escape='"', nullValue="\x00", emptyValue="", mode="FAILFAST", enforceSchema=True)
-        return df.select(F.array(*[F.coalesce(f"c{k}", F.lit("")) for k in range(width)]).alias("row"))
+        """Quotes may open and close anywhere in a field; a comma after an even number of quotes parts fields."""
+        line = F.col("value")
+        lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where((F.col("at") > 0) & (line != ""))
+        unquoted = lambda x: F.replace(F.regexp_replace(x, '"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"'))
+        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+        parted = F.transform(F.split(line, ',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)', -1), unquoted)
+        bad = F.raise_error(F.lit("Unterminated quoted CSV field")).cast("array<string>")
+        fields = F.when(~line.contains('"'), F.split(line, ",", -1)).when(quotes % 2 == 0, parted).otherwise(bad)
+        return lines.select(_checked(fields, width, (F.col("at") > 0) & (line != "")).alias("row"))
 
     def opening(self, names: list[str]) -> str:
         return ",".join(_quoted_csv(n) for n in names) + "\n"
@@ -118,6 +126,7 @@ class _Lines(Format):
 class Json(_Lines):
     between = ","
     indent = "    "
+    body = r'(?s)"columns".*"rows"\s*:\s*\[\s*\S|"rows".*"columns"\s*:\s*\[.*\]'
 
     def header(self, text: str) -> list[str]:
         m = re.search(r'"columns"\s*:\s*', text)
@@ -127,9 +136,8 @@ class Json(_Lines):
 
     def rows(self, spark: SparkSession, path: str, width: int) -> DataFrame:
         by_line = super().rows(spark, path, width)
-        with open(path, encoding="utf-8") as f:
-            if re.search(r'"rows"\s*:\s*\[\s*(\n|\Z|\]\s*\})', f.read(_HEADER_BYTES)):
-                return by_line
+        if re.search(r'"rows"\s*:\s*\[[ \t\r]*(\n|\Z|\]\s*\})', _start(path, self)):
+            return by_line
         whole = spark.read.schema("columns array<string>, rows array<array<string>>").json(path, multiLine=True)
         return whole.select(F.explode("rows").alias("row")).select(_checked(F.col("row"), width).alias("row"))
 
@@ -142,6 +150,7 @@ class Json(_Lines):
 
 class Toml(_Lines):
     between = ","
+    body = r"(?m)^\s*rows\s*="
 
     def header(self, text: str) -> list[str]:
         m = re.search(r"(?m)^\s*columns\s*=\s*(?=\[)", text)
@@ -159,6 +168,7 @@ class Toml(_Lines):
 class Yaml(_Lines):
     row_start = r"^\s*- \["
     indent = "  - "
+    body = "(?m)^rows:"
 
     def header(self, text: str) -> list[str]:
         m = re.search(r"(?m)^columns:[ \t]*\n((?:[ \t]*-[ \t]*\".*\"[ \t]*\n?)*)", text)
@@ -174,6 +184,8 @@ class Yaml(_Lines):
 
 
 class Xml(Format):
+    body = "<rows"
+
     def header(self, text: str) -> list[str]:
         m = re.search(r"(?s)<columns>(.*?)</columns>", text)
         if not m:
@@ -232,6 +244,16 @@ for _extension, _make in (("csv", Csv), ("json", Json), ("toml", Toml), ("yaml",
     register(_extension, _make)
 
 
-def read_header(path: str, kind: Format) -> list[str]:
+def _start(path: str, kind: Format) -> str:
+    """The file from its start to where its rows begin, however far that is."""
     with open(path, encoding="utf-8", newline="") as f:
-        return kind.header(f.read(_HEADER_BYTES))
+        text = ""
+        while more := f.read(_READ):
+            text += more
+            if re.search(kind.body, text):
+                break
+        return text
+
+
+def read_header(path: str, kind: Format) -> list[str]:
+    return kind.header(_start(path, kind))

@@ -13,7 +13,7 @@ from tessera.errors import SqlError
 from tessera.functions.values import number_of
 from tessera.plans.nodes import Relation
 from tessera.plans.render import is_number
-from tessera.sources.base import ORDER, Column, Store, Table, auto_place
+from tessera.sources.base import HIT, ORDER, Column, Store, Table, auto_place
 from tessera.sources.files import FileStore
 from tessera.sources.scratch import rewritten
 
@@ -76,15 +76,30 @@ class MemoryStore(Store):
             return self.files.save(table, columns, df)
         held = _Held(tuple(columns))
         if df is not None:
-            names = [f"c{k}" for k in range(len(columns))]
-            rows = df.select(*names, ORDER).orderBy(ORDER).limit(LOCAL_ROWS + 1).collect()
-            if len(rows) <= LOCAL_ROWS:
-                held.rows = [list(r[:-1]) for r in rows]
-            else:
-                held.df = rewritten(df.select(*names, ORDER).orderBy(ORDER).withColumn(ORDER, F.monotonically_increasing_id()))
+            self._fill(held, df.withColumn(HIT, F.lit(False)), False)
         self.tables[table.name] = held
         return None
 
+    def _fill(self, held: _Held, df: DataFrame, drop_hits: bool) -> int:
+        """The rows of ``df``, in order, and how many are hits."""
+        names = [f"c{k}" for k in range(len(held.columns))]
+        rows = df.select(*names, ORDER, HIT).orderBy(ORDER).limit(LOCAL_ROWS + 1).collect()
+        if len(rows) <= LOCAL_ROWS:
+            held.rows = [list(r[:-2]) for r in rows if not (drop_hits and r[HIT])]
+            return sum(r[HIT] for r in rows)
+        kept = rewritten(df.select(*names, ORDER, HIT).orderBy(ORDER).withColumn(ORDER, F.monotonically_increasing_id()))
+        held.df = (kept.where(~F.col(HIT)) if drop_hits else kept).drop(HIT)
+        return kept.where(HIT).count()
+
+    def change(self, table: Relation, columns: Sequence[Column], df: DataFrame, drop_hits: bool) -> int:
+        if table.is_path:
+            return self.files.change(table, columns, df, drop_hits)
+        held = _Held(tuple(columns))
+        affected = self._fill(held, df, drop_hits)
+        if affected:
+            self.tables[table.name] = held
+        return affected
+
     def append(self, table: Relation, row: list[str | None]) -> None:
         if table.is_path:
             return self.files.append(table, row)

@@ -17,8 +17,9 @@ PLACES = [("Oslo", "Norway"), ("Porto", "Portugal"), ("Quito", "Ecuador"), ("Rig
 
 
 def people(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows as a store saves them; the same rows for the same seed."""
-    pick = lambda options, salt: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(len(options))) + 1).cast("int"))
+    """``n`` rows as a store saves them; the same rows for the same seed, by the digits of an MD5."""
+    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), "id").cast("binary")), 1, 8), 16, 10).cast("long")
+    pick = lambda options, salt: F.element_at(F.array(*map(F.lit, options)), (drawn(salt) % len(options) + 1).cast("int"))
     place = lambda k: pick([p[k] for p in PLACES], 2)
     return spark.range(1, n + 1).select(F.col("id").cast("string").alias("c0"), pick(NAMES, 1).alias("c1"), place(0).alias("c2"), place(1).alias("c3"), F.col("id").alias(ORDER))
 

@@ -336,8 +336,60 @@ def test_joins_and_memberships_are_hashed_or_merged(spark):
         session.store.register(name, spark.range(1000).selectExpr(f"id AS {name}k", "id % 7 AS v"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for text in ("SELECT ak FROM a, b WHERE ak = bk", "SELECT ak FROM a WHERE ak NOT IN (SELECT bk FROM b)", "SELECT ak FROM a WHERE ak IN (SELECT bk FROM b)"):
+        session.sql("CREATE TABLE t (k, w)")
+        session.sql("INSERT INTO t VALUES ('5.0', x)")
+        session.sql("INSERT INTO t VALUES ('abc', y)")
+        texts = "SELECT ak FROM a, b WHERE ak = bk", "SELECT ak FROM a WHERE ak NOT IN (SELECT bk FROM b)", "SELECT ak FROM a WHERE ak IN (SELECT bk FROM b)"
+        for text in (*texts, "SELECT ak, w FROM a, t WHERE ak = k", "SELECT ak, w FROM a, t WHERE k + 1 = ak", "SELECT x.w FROM t x, t y WHERE x.k = y.k"):
             plan = session.table(text)._jdf.queryExecution().executedPlan().toString()
             assert "Cartesian" not in plan and "NestedLoop" not in plan and ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_text_equals_a_number_by_its_number(spark):
+    session = Session(spark)
+    session.store.register("n", spark.createDataFrame([(5, 2.5), (0, -0.0), (None, None)], "i long, d double"))
+    for text in ("CREATE TABLE t (k)", *(f"INSERT INTO t VALUES ({x})" for x in ("'5'", "'5.0'", "' 5'", "'abc'", "'2.5'", "'-0'", "NULL"))):
+        assert session.sql(text).success
+    rows = lambda text: sorted(tuple(r) for r in session.table(text).collect())
+    assert rows("SELECT k, i FROM t, n WHERE k = i") == [(" 5", "5"), ("-0", "0"), ("5", "5"), ("5.0", "5")]
+    assert rows("SELECT k FROM t, n WHERE k = d") == [("-0",), ("2.5",)]
+    assert rows("SELECT k FROM t, n WHERE k != i AND i = 5") == [("-0",), ("2.5",), ("abc",)]
+    assert rows("SELECT x.k AS a, y.k AS b FROM t x, t y WHERE x.k = y.k AND x.k = 0") == [("-0", "-0")]
+
+
+def test_numbering_in_spans_of_the_order(db, monkeypatch):
+    from tessera.operators import changes
+
+    monkeypatch.setattr(changes, "SPAN_BITS", 1)
+    fill(db, "t (a, b)", [(k, k if k in (3, 12) else "") for k in range(11)])
+    db("ALTER TABLE t ALTER COLUMN b SET AUTO_INCREMENT")
+    assert db("SELECT a, b FROM t") == [(str(k), "3" if k == 3 else str(4 + k - (k > 3))) for k in range(11)]
+
+
+def test_a_view_that_fails_on_a_later_row_is_refused(db):
+    fill(db, "t (a)", [(1,), (2,), ("abc",)])
+    for text in ("CREATE VIEW v AS SELECT a * 2 AS b FROM t", "CREATE VIEW v AS SELECT a FROM t WHERE a * 2 > 100"):
+        with pytest.raises(SqlError):
+            db(text)
+    with pytest.raises(SqlError):
+        db("SELECT * FROM v")
+    db("CREATE VIEW v AS SELECT a FROM t")
+    with pytest.raises(SqlError):
+        db("ALTER VIEW v AS SELECT a * 2 AS b FROM t")
+    assert len(db("SELECT * FROM v")) == 3
+
+
+def test_a_change_runs_its_plan_once(spark):
+    session = Session(spark)
+    for text in ("CREATE TABLE t (a)", "INSERT INTO t VALUES (1)", "INSERT INTO t VALUES (2)"):
+        session.sql(text)
+    save, calls = session.store._fill, []
+    session.store._fill = lambda *a: calls.append(1) or save(*a)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("once"))
+    spark.sparkContext.setJobGroup("once", "")
+    assert session.sql("UPDATE t SET a = a + 1 WHERE a = 2").changed == 1 and session.sql("DELETE FROM t WHERE a = 9").changed == 0
+    assert len(calls) == 2 and jobs() <= 2
+    spark.sparkContext.setJobGroup("", "")
+    assert [r.a for r in session.table("SELECT a FROM t").collect()] == ["1", "3"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import sys
 
 import pytest
 
@@ -97,6 +98,28 @@ def test_files_written_by_hand(open_db, tmp_path):
         db("SELECT * FROM bad")
 
 
+def test_quotes_in_csv_fields(open_db, tmp_path):
+    (tmp_path / "q.csv").write_text('a"b"c,"x, y"\na"b"c,plain\n"","q""q"\npre"in,side"post,"""lone"""\n\n"a""b""c",""\n')
+    db = open_db()
+    assert db.session.table("SELECT * FROM q").columns == ["abc", "x, y"]
+    assert db("SELECT * FROM q") == [("abc", "plain"), ("", 'q"q'), ("prein,sidepost", '"lone"'), ('a"b"c', "")]
+    for bad, why in (('a,b\n1,"open\n', "Unterminated"), ("a,b\n1\n", "mismatch")):
+        (tmp_path / "bad.csv").write_text(bad)
+        with pytest.raises(Exception, match=why):
+            db("SELECT * FROM bad")
+
+
+def test_headers_of_any_length(open_db, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "_READ", 7)
+    names = [f"column_{k}" for k in range(30)]
+    for extension in ("csv", "json", "toml", "yaml", "xml"):
+        db = open_db()
+        db(f"CREATE TABLE 'w{extension}.{extension}' ({', '.join(names)})", f"INSERT INTO w{extension} VALUES ({', '.join(map(str, range(30)))})", f"UPDATE w{extension} SET column_0 = x")
+        assert db(f"SELECT * FROM w{extension}") == [("x", *map(str, range(1, 30)))]
+    (tmp_path / "late.json").write_text('{"rows": [["1", "2"], ["3", "4"]], "columns": ["a", "b"]}')
+    assert open_db()("SELECT b FROM late") == [("2",), ("4",)]
+
+
 def test_parquet_files_are_typed(open_db, spark, tmp_path):
     spark.range(5).selectExpr("id", "id * 0.5 AS h").write.parquet(str(tmp_path / "p.parquet"))
     db = open_db()
@@ -209,3 +232,15 @@ def test_registered_queries(spark, name):
 def test_entry_points():
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and set(queries.QUERIES) <= set(names)
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    """A missing package, or subpackage, leaves the other queries."""
+    for name in list(sys.modules):
+        if name == "corpus_pipeline" or name.startswith("tessera.llm"):
+            monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    assert set(__spark_entry__.queries()) == set(queries.QUERIES) and set(__spark_entry__.oracle_sql()) == set(queries.ORACLES)
+    for name in list(sys.modules):
+        if name.startswith("tessera.llm"):
+            monkeypatch.delitem(sys.modules, name)
