@@ -6,9 +6,11 @@ order of addition, so both sides round them, outside the dialect.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import io
 import os
+import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -189,7 +191,9 @@ CASES: dict[str, Case] = {
 def _folder(spark: SparkSession) -> str:
     """A new folder for tables of files, in the shared folder where that is a mounted one."""
     root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "").removeprefix("file://").removeprefix("file:")
-    return tempfile.mkdtemp(prefix="tessera-", dir=root if os.path.isdir(root) else None)
+    folder = tempfile.mkdtemp(prefix="tessera-", dir=root if os.path.isdir(root) else None)
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
 
 
 def _done(session: Session, *texts: str) -> Session:

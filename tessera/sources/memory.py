@@ -17,7 +17,7 @@ from tessera.sources.base import HIT, ORDER, Column, Store, Table, auto_place
 from tessera.sources.files import FileStore
 from tessera.sources.scratch import rewritten
 
-#: A changed table of more rows stays a DataFrame on shared storage.
+#: Rows that the driver holds of a table; what is more lies on shared storage.
 LOCAL_ROWS = 10_000
 _AFTER = 1 << 62
 
@@ -103,7 +103,11 @@ class MemoryStore(Store):
     def append(self, table: Relation, row: list[str | None]) -> None:
         if table.is_path:
             return self.files.append(table, row)
-        self._held(table).rows.append(row)
+        held = self._held(table)
+        held.rows.append(row)
+        if len(held.rows) > LOCAL_ROWS:
+            held.df = rewritten(self.read(table).df.orderBy(ORDER).withColumn(ORDER, F.monotonically_increasing_id()))
+            held.rows = []
         return None
 
     def next_number(self, table: Relation) -> int:

@@ -310,6 +310,10 @@ def test_a_large_table_leaves_the_driver(db, spark, monkeypatch):
     assert db.session.store.tables["t"].df is not None
     db("INSERT INTO t (a) VALUES (0)", "DELETE FROM t WHERE a = 1")
     assert db("SELECT id, a FROM t") == [("2", "4"), ("3", "10"), ("4", "17"), ("5", "26"), ("6", "0")]
+    for k in range(5):
+        db(f"INSERT INTO t (a) VALUES ({k})")
+        assert len(db.session.store.tables["t"].rows) <= 2
+    assert db("SELECT id FROM t") == [(str(k),) for k in range(2, 12)]
 
 
 # Tables with types.
