@@ -165,8 +165,12 @@ def kth_largest(rows: DataFrame, key: str, k: int, bands: int = 64, most: int =
         edges = sorted(set(inside.agg(F.percentile_approx(key, [i / bands for i in range(1, bands)], 100 * bands)).first()[0]))
         band = F.array_size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(key)))
         sizes = {r.band: r["count"] for r in inside.groupBy(band.alias("band")).count().collect()}
-        if len(sizes) == 1:
-            break  # few different values: they are counted below
+        if len(sizes) == 1:  # all bounds are the smallest value: it goes, and what is above it is divided
+            inside = inside.where(F.col(key) > edges[0])
+            n = inside.count()
+            if left > n:
+                return edges[0]
+            continue
         for b in sorted(sizes, reverse=True):
             if sizes[b] >= left:
                 break

@@ -147,8 +147,8 @@ def keep_one(docs: DataFrame, text: str = "text", width: int = WIDTH, least: flo
     key = fresh(docs, "__text_key")
     keyed = docs.withColumn(key, F.xxhash64(text))
     rows = materialize(near_copies(keyed, text, key, width, least))
-    least_ids = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
-    first = rows.join(least_ids, "root").where("doc_id IS NULL OR doc_id = least")
+    least_ids = rows.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
+    first = split_join(rows, least_ids, ["root"], "n_rows", rows.count()).where("doc_id IS NULL OR doc_id = least")
     groups = first.groupBy("root", "doc_id").agg(F.count("*").alias("n"), F.min("key").alias("key"))
     groups = materialize(groups)
 

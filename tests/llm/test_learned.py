@@ -73,6 +73,10 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "key double")
     for k in (1, 2, 700, 1500, 2999, 3000, 4000):
         assert quality.kth_largest(df, "key", k, 8, 20) == sorted(values, reverse=True)[min(k, 3000) - 1]
+    equal = [0.5] * 3000 + [1 + k / 64 for k in range(40)]  # nearly all alike, and others above
+    many = spark.createDataFrame([(v,) for v in equal], "key double")
+    for k in (1, 7, 40, 41, 3040):
+        assert quality.kth_largest(many, "key", k, 8, 5) == sorted(equal, reverse=True)[k - 1]
     assert quality.kth_largest(df, "key", 0) is None and quality.kth_largest(df.limit(0), "key", 3) is None
 
 
