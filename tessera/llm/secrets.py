@@ -30,7 +30,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SAMPLES = 4000
 #: Least ratio of a candidate, in thousandths of a nat: in all, and for each character.
 LEAST_TOTAL, LEAST_EACH = 9000, 350
-#: Least ratio for each character of a candidate of letters only, where masking asks for those.
+#: Least ratio for each character of a candidate without a digit.
 LETTERS_EACH = 600
 
 _STEMS = (
@@ -98,11 +98,10 @@ _ASSIGN = _WORD + "[\"']? *[:=] *[\"']?"
 _CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
 
 
-def kinds(weights: tuple[int, ...], letters: bool = False) -> list[Kind]:
+def kinds(weights: tuple[int, ...]) -> list[Kind]:
     """Base kinds, and ``random`` for strings the models call random.
 
-    Without ``letters`` such a string needs a digit and a letter, as in
-    ``ORACLE_SQL``; with it, strings without a digit count at a higher ratio.
+    Such a string has a letter; one without a digit needs a higher ratio.
 
     Guards make long runs linear and change no match: a run of the class is
     matched from its first character or not at all.
@@ -112,7 +111,7 @@ def kinds(weights: tuple[int, ...], letters: bool = False) -> list[Kind]:
         return F.least(F.lit(99), F.greatest(F.lit(0), F.floor(ratio(hit, weights) / F.lit(1000)) + 50))
 
     def random(hit):
-        able = hit.rlike("[A-Za-z]") if letters else hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
+        able = hit.rlike("[A-Za-z]")
         each = F.when(hit.rlike("[0-9]"), LEAST_EACH).otherwise(LETTERS_EACH)
         return able & F.when(able, (ratio(hit, weights) >= LEAST_TOTAL) & (ratio(hit, weights) >= F.length(hit) * each)).otherwise(False)
 
@@ -121,19 +120,19 @@ def kinds(weights: tuple[int, ...], letters: bool = False) -> list[Kind]:
         Kind("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", lambda t: t.contains("=") | t.contains(":"), lambda h: F.length(F.regexp_replace(h, "^" + _ASSIGN, "")) >= 6, sure(90)),
         Kind("access", "AKIA[A-Z0-9]{16,}", lambda t: t.contains("AKIA"), lambda h: F.lit(True), sure(99)),
         Kind("hex", "(?<![0-9a-f])[0-9a-f]{24,}+", lambda t: t.rlike("[0-9]|[0-9a-f]{24}"), lambda h: F.lit(True), sure(80)),
-        Kind("random", "(?<![A-Za-z0-9+/_-])" + _CANDIDATE + "+", lambda t: t.rlike(_CANDIDATE if letters else "[0-9]"), random, percent, base=False),
+        Kind("random", "(?<![A-Za-z0-9+/_-])" + _CANDIDATE + "+", lambda t: t.rlike(_CANDIDATE), random, percent, base=False),
     ]
 
 
-def find_secrets(docs: DataFrame, text: str = "text", into: str = "spans", weights: tuple[int, ...] | None = None, letters: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", into: str = "spans", weights: tuple[int, ...] | None = None) -> DataFrame:
     """``docs`` with the sorted spans of secrets in each text."""
-    return with_spans(docs, text, kinds(weights or model(), letters), into, width=0)
+    return with_spans(docs, text, kinds(weights or model()), into, width=0)
 
 
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret, random strings of letters only among them, replaced by ``<secret>``; a null text stays null."""
+    """``docs`` with every secret replaced by ``<secret>``; a null text stays null."""
     into = fresh(docs, "__found")
-    found = find_secrets(docs, text, into, letters=True)
+    found = find_secrets(docs, text, into)
     return found.withColumn(text, redacted(F.col(text), F.col(into), lambda s: F.lit("<secret>"))).drop(into)
 
 
@@ -151,7 +150,7 @@ def _oracle() -> str:
         ("assign", assign + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(h, '^{assign}', '')) >= 6", "90"),
         ("access", "AKIA[A-Z0-9]+", "length(h) >= 20", "99"),
         ("hex", "[0-9a-f]+", "length(h) >= 24", "80"),
-        ("random", _CANDIDATE, f"regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]') AND {llr} >= greatest({LEAST_TOTAL}, length(h) * {LEAST_EACH})", f"least(99, greatest(0, floor({llr} / 1000.0)::INT + 50))"),
+        ("random", _CANDIDATE, f"regexp_matches(h, '[A-Za-z]') AND {llr} >= greatest({LEAST_TOTAL}, length(h) * CASE WHEN regexp_matches(h, '[0-9]') THEN {LEAST_EACH} ELSE {LETTERS_EACH} END)", f"least(99, greatest(0, floor({llr} / 1000.0)::INT + 50))"),
     ]
     parts = []
     for rank, (name, pattern, valid, score) in enumerate(rules):
