@@ -6,13 +6,15 @@ tables get the store's default format unless their path says otherwise.
 An insert appends one line to a journal beside the file, so it starts no job;
 a scan reads the file and then the journal.  Any other change writes a new
 file next to the old one and swaps it in, so a crash leaves one of the two
-whole, and then drops the journal.
+whole, and then drops the journal.  Executors write the new file's lines; the
+driver joins their parts, so the folder must be one that they share.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,7 @@ from tessera.functions.values import number_of
 from tessera.plans.nodes import Relation
 from tessera.sources.base import HIT, ORDER, Column, Store, Table, auto_place
 from tessera.sources.formats import FORMATS, Format, read_header
+from tessera.sources.scratch import discard, rewritten
 
 _JOURNAL, _COUNTER, _VIEW = ".append", ".autoincrement", ".view.sql"
 #: Rows of the journal come after every row of the file.
@@ -106,15 +109,23 @@ class FileStore(Store):
 
     def _swap(self, path: str, columns: Sequence[Column], df: DataFrame | None, drop_hits: bool) -> int:
         """Put a new file in the place of the old one, unless ``df`` has ``HIT`` and no hits; returns their number."""
-        new, auto, kind = path + ".new", auto_place(columns), self._format(path)
+        new, auto, kind, hits, most = path + ".new", auto_place(columns), self._format(path), 0, None
+        lines = None if df is None else self._lines(kind, columns, df, drop_hits)
+        kept = None
+        if lines is not None and (HIT in df.columns or auto is not None):
+            lines = kept = rewritten(lines)  # so that counting and writing run the plan once
+            hits, most = lines.agg(F.count_if("hit"), F.max("n")).first()
         try:
-            most, hits = self._write(new, kind, columns, df, drop_hits)
+            if df is not None and HIT in df.columns and not hits:
+                return 0
+            self._write(new, kind, [c.stored for c in columns], lines)
         except BaseException:
-            os.remove(new)
+            if os.path.exists(new):
+                os.remove(new)
             raise
-        if df is not None and HIT in df.columns and not hits:
-            os.remove(new)
-            return 0
+        finally:
+            if kept is not None:
+                discard(kept)
         os.replace(new, path)
         for sidecar in (_JOURNAL, _COUNTER):
             if os.path.exists(path + sidecar):
@@ -123,30 +134,37 @@ class FileStore(Store):
             self._count(path, (most or 0) + 1)
         return hits
 
-    def _write(self, path: str, kind: Format, columns: Sequence[Column], df: DataFrame | None, drop_hits: bool) -> tuple[int | None, int]:
-        """Write a whole file; returns the greatest number of its AUTO_INCREMENT column, and the number of hits."""
-        names, auto, most, hits = [c.stored for c in columns], auto_place(columns), None, 0
-        with open(path, "w", encoding="utf-8", newline="") as f:
-            f.write(kind.opening(names))
-            if df is not None:
-                values = F.array(*[F.coalesce(f"c{k}", F.lit(self.null_text)) for k in range(len(columns))])
-                number = number_of(F.col(f"c{auto}")) if auto is not None else F.lit(None)
-                hit = F.col(HIT) if HIT in df.columns else F.lit(False)
-                line = F.when(hit & drop_hits, None).otherwise(kind.line(values))
-                lines = df.orderBy(ORDER).select(line.alias("line"), number.cast("long").alias("n"), hit.alias("hit"))
-                first = True
-                for row in lines.toLocalIterator(prefetchPartitions=True):  # a stream: memory does not grow with the table
-                    hits += row.hit
-                    if row.line is None:
-                        continue
-                    f.write(("" if first else kind.between + "\n") + row.line)
-                    first = False
-                    most = max(most or 0, row.n) if row.n is not None else most
-                f.write("" if first else "\n")
-            f.write(kind.closing(names))
-            f.flush()
-            os.fsync(f.fileno())
-        return most, hits
+    def _lines(self, kind: Format, columns: Sequence[Column], df: DataFrame, drop_hits: bool) -> DataFrame:
+        """``(line, n, hit)`` and the order of the rows of a new file; rows that go have no line."""
+        auto = auto_place(columns)
+        values = F.array(*[F.coalesce(f"c{k}", F.lit(self.null_text)) for k in range(len(columns))])
+        number = number_of(F.col(f"c{auto}")) if auto is not None else F.lit(None)
+        hit = F.col(HIT) if HIT in df.columns else F.lit(False)
+        gone = hit & F.lit(drop_hits)
+        return df.select(F.when(~gone, kind.line(values)).alias("line"), F.when(~gone, number).cast("long").alias("n"), hit.alias("hit"), ORDER)
+
+    def _write(self, path: str, kind: Format, names: list[str], lines: DataFrame | None) -> None:
+        """Write a whole file.  Executors write its lines, in parts beside it; here the parts' bytes are put together."""
+        parts, end = f"{path}.parts", f"{kind.between}\n".encode()
+        try:
+            with open(path, "wb") as f:
+                f.write(kind.opening(names).encode())
+                if lines is not None:
+                    rows = lines.where("line IS NOT NULL").orderBy(ORDER)
+                    rows.select(F.concat("line", F.lit(kind.between))).write.text(parts, lineSep="\n")
+                    start = f.tell()
+                    for name in sorted(x for x in os.listdir(parts) if x.startswith("part-")):
+                        with open(os.path.join(parts, name), "rb") as part:
+                            shutil.copyfileobj(part, f, 1 << 20)
+                    if kind.between and f.tell() > start:
+                        f.seek(-len(end), os.SEEK_CUR)
+                        f.truncate()
+                        f.write(b"\n")
+                f.write(kind.closing(names).encode())
+                f.flush()
+                os.fsync(f.fileno())
+        finally:
+            shutil.rmtree(parts, ignore_errors=True)
 
     def _count(self, path: str, number: int) -> None:
         with open(path + _COUNTER, "w", encoding="utf-8") as f:

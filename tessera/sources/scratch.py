@@ -16,3 +16,12 @@ def rewritten(df: DataFrame) -> DataFrame:
     path = f"{(root or os.path.join(tempfile.gettempdir(), 'tessera-tables')).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a frame of ``rewritten``."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" in folder:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
