@@ -43,7 +43,7 @@ from tessera.llm.common import in_arrow, shingled, table
 
 EXACT, LIKE, SHINGLE = 32, 128, 3
 LANES = EXACT + LIKE
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 128 << 20
 _PIECE = 1 << 15
 #: Characters of a list of lines.
 _LINES = 1 << 16
