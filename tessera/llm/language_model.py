@@ -58,11 +58,11 @@ ROUNDS, RATE, PRIOR = 4, 0.2, 3.0
 END, REPEAT = 0, 1
 _END_WORD = b" "
 #: A block ends after so many words, distinct words or texts.
-_BLOCK_TOKENS, _BLOCK_WORDS, _BLOCK_DOCS = 4_000_000, 300_000, 20_000
+_BLOCK_TOKENS, _BLOCK_WORDS, _BLOCK_DOCS = 2_000_000, 150_000, 10_000
 #: Tokens whose features stand in memory at once, and those of one matrix of chances.
-_SLICE, _BATCH, _SHARD = 1 << 18, 1 << 14, 1_000_000
+_SLICE, _BATCH, _SHARD = 1 << 17, 1 << 14, 1_000_000
 #: Rows of the matrix in a chunk, and blocks that a task adds up before it sends chunks.
-_CHUNK, _BLOCKS_A_TASK = 32, 4
+_CHUNK, _BLOCKS_A_TASK = 32, 8
 _SALTS = np.random.default_rng(5).integers(1, 1 << 62, FEATURES + WORD_FEATURES, np.uint64) | np.uint64(1)
 
 _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, n long, tokens binary, classes binary, hashes binary, trained binary"
@@ -434,7 +434,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFram
     rest = totals - np.c_[own.sum(axis=1), (own > 0).sum(axis=1)]
     heads = Heads(hashes, slots)
     weights = train(blocks, start(totals, own), heads, max(1, -(-n // _BLOCKS_A_TASK)))
-    return Model(weights, heads, totals, rest), blocks, replies, shards, max(1, -(-n // 2))
+    return Model(weights, heads, totals, rest), blocks, replies, shards, max(1, -(-n // 4))
 
 
 def scores(docs: DataFrame, text: str = "text") -> DataFrame:
