@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import sys
@@ -95,6 +96,18 @@ def discard(*frames: DataFrame) -> None:
                 _remove(sc, folder)
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query that wrote them ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 #: Bytes and rows that a task turns into Python values at once.
 PIECE_BYTES, PIECE_ROWS = 4 << 20, 1000
 

@@ -1,20 +1,26 @@
-"""Near copies: texts whose sets of word shingles are alike, checked exactly.
-
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` least hash values
-each, and texts that share a band are in one cell.  Texts as alike as ``LEAST``
-= 0.8 share no band with a chance of 0.0004, more alike ones with less.  Of
-cells with the same members one is kept.  Inside a cell texts are compared
-until every pair is linked, directly or by others, or found to be unlike; a pair
-that the signatures put under ``LEAST - SLACK`` (4.5 standard deviations below)
-is not read, every other is decided by the exact Jaccard index of its shingles.
-A cell gives fewer links than it has members, however alike they are.
-
-A cell of up to ``MOST`` members is one task's group.  A larger one is never
-brought together.  First each of its members is compared with a few of them,
-the pivots, in shares of ``MOST`` members; in a group of near copies that links
-nearly all.  Then what is not in the cell's largest group so far is compared
-with all members, share by share.  No link between groups is missed: of two
-texts in different groups one is not in the largest.
+"""Near copies: SimHash fingerprints linked by a grid range-join, checked exactly.
+
+The steps are those of ``op4_simhash``, with a wide fingerprint where that one
+has 64 bits, as texts that share 0.8 of their shingles differ in 15 % of the
+bits, too many for a search at two of 64.  A bit is 1 if set in over half of the
+hashes of a text's distinct shingles.  The embedding has the bit count of every
+two-bit segment, so the Manhattan distance of two embeddings never exceeds the
+Hamming distance of the fingerprints; in unary it is the bit count of an XOR.
+
+The range-join: a grid takes some coordinates of the embedding, and a cell has
+equal ones.  A text goes to its own cell of each grid and to the ``PROBES - 1``
+nearest others, those that it would be in if the bits with the closest majority
+were different, as near copies differ in such bits first.  Texts that meet in a cell are
+candidates if the Manhattan distance of their embeddings is within the range,
+``DEVIATIONS`` above what texts of ``LEAST`` = 0.8 have: first by two words
+that the cell does not use, then by the whole.  ``grids`` takes as many grids as
+miss a pair at ``LEAST`` with a chance of ``MISSED``, more alike ones with less.  More
+texts get more coordinates a cell, so that few unlike texts meet.
+
+Every candidate is decided by the exact Jaccard index of its shingles, unless
+its texts are linked by others.  A first round compares the members of a cell
+with the ``PIVOTS`` first ones only, which joins the bulk of a group of near copies;
+the second compares all members of different components.
 
 A text of fewer words than a shingle is one shingle; null and wordless texts
 are copies of each other.  Texts, and shingles, are told apart by 64-bit hashes.
@@ -22,24 +28,35 @@ are copies of each other.  Texts, and shingles, are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, in_arrow, materialize, shingled, split_join, word_lists
+from tessera.llm.common import brief_shuffles, discard, in_arrow, materialize, shingled, split_join, word_lists
 from tessera.llm.components import components
 
-WIDTH, LEAST, SLACK = 5, 0.8, 0.18
-BANDS, ROWS = 20, 5
-#: Members that are compared in one task, and pivots of a larger cell.
-MOST, PIVOTS = 512, 32
-_N, _PIECE = BANDS * ROWS, 4096
-_A, _B = np.random.default_rng(7).integers(1, 1 << 63, (2, _N), np.uint64) * np.uint64(2) + np.uint64(1)
+WIDTH, LEAST = 5, 0.8
+#: Chance that the grids part two texts as alike as ``LEAST``.
+MISSED = 0.0003
+#: Cells of a text in a grid, in the first round and in the second, and bits with the closest majority that they differ in.
+FIRST, PROBES, WEAK = 4, 16, 8
+#: A text of fewer shingles goes to all cells that differ in ``WEAK`` bits; its majorities tell little.
+TINY = 16
+#: Members of a cell that are compared as one square, and members that all others are compared with in the first round.
+MOST, PIVOTS = 64, 1
+#: Words of an embedding that travel with a cell's member; deviations of the range over them and over the whole; its stretch for tiny texts.
+CHECKED, DEVIATIONS, STRETCH = 2, (4.0, 4.5), 1.3
+#: Members a node that are shuffled at once.
+SHUFFLED = 64
+_PIECE, _ROWS = 4096, 1 << 18
+_LOW = np.uint64(0x5555555555555555)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -60,136 +77,284 @@ def node_of(text: str) -> int:
     return state.intdigest()
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The upper halves of the least of each of the hash functions."""
-    out = np.full(_N, np.iinfo(np.uint64).max)
+def _mixed(found: np.ndarray, words: int) -> np.ndarray:
+    """Each hash as so many words, of which the first is the hash."""
+    x = found[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x[:, 0] = found
+    return x
+
+
+def bit_counts(found: np.ndarray, words: int) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    out = np.zeros(64 * words, np.int64)
     for at in range(0, len(found), _PIECE):
-        np.minimum(out, (found[at : at + _PIECE, None] * _A + _B).min(axis=0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+        x, weight = _mixed(found[at : at + _PIECE], words), 1
+        while len(x):
+            carries = [x[:0]]
+            while len(x) > 256:  # three rows of a weight are one of it and one of twice as much
+                n = len(x) // 3
+                a, b, c = x[:n], x[n : 2 * n], x[2 * n : 3 * n]
+                odd = a ^ b
+                carries.append(a & b | c & odd)
+                x = np.concatenate([odd ^ c, x[3 * n :]])
+            out += weight * np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            x, weight = np.concatenate(carries), 2 * weight
+    return out
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both) - 1e-9
+def majorities(counts: np.ndarray, n: int) -> np.ndarray:
+    """How far each bit is from half of ``n``, in 40ths of the square root, as a byte: 0 or more where the fingerprint's bit is 1."""
+    return np.clip(np.ceil(40 * (2 * counts - n) / math.sqrt(max(n, 1))) - 1, -128, 127).astype(np.int8)
 
 
-def linked(signatures: np.ndarray, sets: list[np.ndarray], least: float = LEAST, pivots: int | None = None, label: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Pairs of a cell that are alike and join its groups into components, and each member's component.
+def embedded(majority: np.ndarray) -> np.ndarray:
+    """The segment counts of fingerprints, a row each, in unary: words whose XOR has the Manhattan distance as bit count."""
+    fp = np.packbits(majority >= 0, axis=1, bitorder="little").view(np.uint64)
+    either, both = (fp | fp >> np.uint64(1)) & _LOW, fp & fp >> np.uint64(1) & _LOW
+    return either | both << np.uint64(1)
+
+
+@dataclass(frozen=True)
+class Grids:
+    """``count`` grids of ``coordinates`` each over fingerprints of ``words`` words."""
+
+    coordinates: int
+    count: int
+    words: int
+
+    def checked(self, grid: int) -> list[int]:
+        """The words that members of a cell are compared by, none that the cell depends on."""
+        last = (2 * self.coordinates * (grid + 1) - 1) // 64
+        return [(last + 1 + k) % self.words for k in range(CHECKED)]
+
+    def cells(self, majority: np.ndarray, grid: int, probes: int) -> np.ndarray:
+        """The nearest cells of texts, a row each, in one grid; the first is their own if ``probes`` is 1."""
+        k = 2 * self.coordinates
+        q = majority[:, grid * k : (grid + 1) * k].astype(np.int64)
+        ones = q >= 0
+        far = np.where(ones, q, -1 - q)
+        weight = np.random.default_rng([grid, k]).integers(1, 1 << 63, self.coordinates, np.uint64)[np.arange(k) // 2]
+        cell = (ones * weight).sum(axis=1, dtype=np.uint64)[:, None] + np.uint64(grid)
+        if probes == 1:
+            return cell.view(np.int64)
+        cost = np.zeros((len(q), 1))
+        weak = np.argsort(far * k + np.arange(k), axis=1)[:, :WEAK]
+        for b in weak.T:
+            at = np.arange(len(q)), b
+            step = np.where(ones[at], np.uint64(0) - weight[b], weight[b])[:, None]
+            cell, cost = np.hstack([cell, cell + step]), np.hstack([cost, cost + far[at][:, None] + 0.5])
+        if probes < cell.shape[1]:
+            cell = np.take_along_axis(cell, np.argpartition(cost, probes - 1, axis=1)[:, :probes], axis=1)
+        return cell.view(np.int64)
+
+
+def flips(least: float) -> float:
+    """The share of bits in which texts as alike as ``least`` differ."""
+    return math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
+
+
+def reach(words: int, least: float, deviations: float) -> int:
+    """The range: the Manhattan distance of the embeddings of texts as alike as ``least``, and so many deviations more."""
+    p = flips(least)
+    mean, square = 2 * p * (1 - p) + p * p, 2 * p * (1 - p) + 2 * p * p  # of a segment's difference
+    return int(32 * words * mean + deviations * math.sqrt(32 * words * (square - mean * mean)))
 
-    Only the first ``pivots`` are compared with all, if given; ``label`` are the groups to begin with, by default single members.
-    """
-    label, out = np.arange(len(sets)) if label is None else label.copy(), []
-    for u in range(1, len(sets)):
-        like = (signatures[: min(u, pivots or u)] == signatures[u]).mean(axis=1)
-        like[like < least - SLACK] = -1
-        for v in np.argsort(-like, kind="stable"):
-            if like[v] < 0:
-                break
-            if label[v] != label[u] and alike(sets[u], sets[v], least):
-                out.append((int(v), u))
-                label[label == label[v]] = label[u]
-    return out, label
-
-
-def _pairs(groups: list[pa.Table], least: float, pivots: int | None = None, star: bool = False) -> pa.Table:
-    """Edges of a cell's members ``(node, sig, shingles[, root])``; with ``star`` one from a pivot to each member of its component."""
-    column = lambda c: [x for g in groups for x in g.column(c).to_pylist()]
-    names, sigs = column("node"), np.stack([np.frombuffer(s, np.uint32) for s in column("sig")])
-    label = np.unique(column("root"), return_inverse=True)[1] if "root" in groups[0].column_names else None
-    found, label = linked(sigs, [np.frombuffer(s, np.uint64) for s in column("shingles")], least, pivots, label)
-    edges = [(names[a], names[b]) for a, b in found]
-    if star:
-        centre: dict[int, int] = {}
-        for k in range(pivots):
-            centre[label[k]] = min(names[k], centre.get(label[k], names[k]))
-        edges = [(centre[x], name) for x, name in zip(label, names) if x in centre]
-    u, v = zip(*edges) if edges else ((), ())
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
+@lru_cache
+def grids(n: int, least: float = LEAST) -> Grids:
+    """The grids for ``n`` texts.  How often one joins two texts at ``least`` is counted on drawn pairs; 15 % more grids make up for small texts."""
+    coordinates = next((c for c, most in ((10, 1 << 14), (12, 1 << 18), (14, 1 << 21), (16, 1 << 24)) if n <= most), 18)
+    rng, one, cos = np.random.default_rng(11), Grids(coordinates, 1, 1), math.cos(math.pi * flips(least))
+    x, other = rng.standard_normal((2, 4000, 2 * coordinates))
+    a, b = (one.cells(np.clip(np.ceil(40 * z) - 1, -128, 127), 0, PROBES) for z in (x, cos * x + math.sqrt(1 - cos * cos) * other))
+    joined = min((a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean(), 0.999)
+    count = math.ceil(1.15 * math.log(MISSED) / math.log(1 - joined))
+    return Grids(coordinates, count, max(-(-2 * coordinates * count // 64), CHECKED + 2))
 
-def hashed(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """``(doc_id, key, node, sig)`` of every row; rows of one node have the same words."""
+
+def hashed(docs: DataFrame, text: str, key: str, width: int, words: int) -> DataFrame:
+    """``(doc_id, key, node, size, majority, embedding)`` of every row; rows of one node have the same words, ``size`` distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            nodes = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
-            sigs = pa.array([signature(shingles(t, width)).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), sigs], names=["doc_id", "key", "node", "sig"])
+            nodes, sizes, found = np.array([node_of(t) for t in texts], np.uint64).view(np.int64), [], []
+            for t in texts:
+                own = shingles(t, width)
+                sizes.append(len(own))
+                found.append(majorities(bit_counts(own, words), len(own)))
+            columns = [pa.array(nodes), pa.array(sizes, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (found, embedded(np.stack(found))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "key", "node", "size", "majority", "embedding"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col(key), text), run, "doc_id long, key long, node long, sig binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col(key), text), run, "doc_id long, key long, node long, size int, majority binary, embedding binary")
 
 
-def _across(members: DataFrame, pivots: DataFrame, sets: DataFrame, least: float, star: bool) -> DataFrame:
-    """Edges ``(u, v)`` between pivots and members of their cells, a share of each in a task.
+_MEMBER = "cell long, node long, root long, size int, " + ", ".join(f"e{k} long" for k in range(CHECKED))
 
-    ``members(cell, n, node, root)`` and ``pivots(cell, n, w, node, root)``: a cell has ``n`` members and ``w`` pivots.
-    """
-    shares, blocks = F.ceil(F.col("n") / MOST), F.ceil(F.col("w") / MOST)
-    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
-    key = ["cell", "share", "block"]
-    here = members.join(pivots.select("cell", "w").distinct(), "cell").select("cell", F.pmod(F.xxhash64("node"), shares).alias("share"), upto(blocks).alias("block"), "node", "root").join(sets, "node")
-    there = pivots.select("cell", upto(shares).alias("share"), F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "root").join(sets, "node")
-    there = there.toDF(*[f"own_{c}" for c in there.columns])  # the same tables on both sides need other names
 
-    def compare(cell: pa.Table, own: pa.Table) -> pa.Table:
-        own = own.rename_columns([c.removeprefix("own_") for c in own.column_names])
-        return _pairs([own.sort_by("node"), cell.sort_by("node")], least, own.num_rows, star) if own.num_rows else _NO_EDGES
+def _rows(column: pa.Array, kind: type) -> np.ndarray:
+    """Binary values of one length, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
-    return here.groupBy(*key).cogroup(there.groupBy(*[f"own_{c}" for c in key])).applyInArrow(compare, "u long, v long")
 
+def members(nodes: DataFrame, grid: Grids, probes: int, some: range) -> DataFrame:
+    """The members of all cells of some of the grids; ``nodes(node, root, size, majority, embedding)``."""
 
-_NO_EDGES = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _MEMBER.split(", ")]
+        for batch in batches:
+            majority, words = _rows(batch.column(3), np.int8), _rows(batch.column(4), np.int64)
+            tiny = batch.column(2).to_numpy() < TINY
+            for rows, n in ((np.flatnonzero(~tiny), probes), (np.flatnonzero(tiny), 1 << WEAK)):
+                for g in some if len(rows) else ():
+                    cell = grid.cells(majority[rows], g, n)
+                    each = np.repeat(rows, cell.shape[1])
+                    columns = [cell.ravel(), *(batch.column(c).to_numpy()[each] for c in (0, 1, 2)), *(words[each, w] for w in grid.checked(g))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return in_arrow(nodes.select("node", "root", "size", "majority", "embedding"), run, _MEMBER)
+
+
+def _met(rows: list[np.ndarray], least: float, pivots: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among members sorted by cell: with ``pivots`` pairs with a cell's first members, without all of different roots."""
+    cell, node, root, size, *words = rows
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    length = np.diff(np.r_[start, len(cell)])
+    near, out = reach(CHECKED, least, DEVIATIONS[0]), []
+
+    def check(a: np.ndarray, b: np.ndarray) -> None:
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        fit = (root[a] != root[b]) & (low >= least * high - 1e-9)
+        a, b, low = a[fit], b[fit], low[fit]
+        apart = sum(np.bitwise_count((w[a] ^ w[b]).view(np.uint64)).astype(np.int64) for w in words)
+        fit = apart <= np.where(low < TINY, STRETCH * near, near)
+        out.append((node[a[fit]], node[b[fit]]))
+
+    if pivots:
+        first, within = np.repeat(start, length), np.arange(len(cell)) - np.repeat(start, length)
+        for k in range(pivots):
+            at = np.flatnonzero(within > k)
+            check(at, first[at] + k)
+    else:
+        mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        left = np.flatnonzero(np.repeat(mixed & (length <= MOST), length))
+        end, step = np.repeat(start + length, length), 1
+        while len(left := left[left + step < end[left]]):
+            check(left, left + step)
+            step += 1
+        large = mixed & (length > MOST)
+        for s, n in zip(start[large], length[large]):
+            # Of two members of different roots one is not of the most frequent root.
+            names, which, count = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
+            every = np.arange(s, s + n)
+            for a in every[which != count.argmax()]:
+                check(np.full(n, a), every)
+    u, v = (np.concatenate([node[:0], *c]) for c in (zip(*out) if out else ((), ())))
+    pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
+    return pair[:, 0], pair[:, 1]
+
+
+def candidates(nodes: DataFrame, grid: Grids, probes: int, least: float, pivots: int | None = None) -> DataFrame:
+    """Pairs ``(u, v)`` of ``nodes(node, root, size, majority, embedding)`` with ``u > v`` that meet in a cell and are within the range.
+
+    As many grids at a time as have ``SHUFFLED`` members a node.
+    """
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            u, v = _met(rows, least, pivots)
+            for at in range(0, len(u), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(u[at : at + _ROWS]), pa.array(v[at : at + _ROWS])], names=["u", "v"])
+
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= _ROWS and held[-1][0][0] != held[-1][0][-1]:  # all but the last cell, which may go on
+                rows = [np.concatenate(c) for c in zip(*held)]
+                end = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1
+                yield from flush([c[:end] for c in rows])
+                held = [[c[end:] for c in rows]]
+                n = len(held[0][0])
+        if n:
+            yield from flush([np.concatenate(c) for c in zip(*held)])
+
+    step, found = max(1, SHUFFLED // probes), []
+    for g in range(0, grid.count, step):
+        cells = members(nodes, grid, probes, range(g, min(g + step, grid.count))).repartition("cell").sortWithinPartitions("cell", "node")
+        found.append(materialize(cells.mapInArrow(meet, "u long, v long").distinct()))
+    pairs = reduce(DataFrame.union, found).distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = reach(grid.words, least, DEVIATIONS[1])
+        for batch in batches:
+            a, b = (_rows(batch.column(c), np.uint64) for c in (2, 3))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            low = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy())
+            fit = pa.array(apart <= np.where(low < TINY, STRETCH * near, near))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fit), batch.column(1).filter(fit)], names=["u", "v"])
 
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("embedding").alias(f"{c}_m"), F.col("size").alias(f"{c}_n"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_m", "v_m", "u_n", "v_n")
+    near = materialize(in_arrow(both, whole, "u long, v long"))
+    discard(*found)
+    return near
 
-def linked_components(docs: DataFrame, nodes: DataFrame, text: str, key: str, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """``(node, root)`` of every node that is alike to another.  ``nodes(node, n_id, n_key, sig)`` are distinct and name a row each."""
-    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
-    keyed = nodes.select("node", F.posexplode(bands).alias("band", "cell"))
-    cells = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.first("band").alias("band"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    cells = cells.where("n > 1").groupBy("n", "mark", "lo", "hi").agg(F.min(F.struct("band", "cell")).alias("c")).select("n", "c.*")
-    n_keyed = nodes.count() * BANDS
-    members = materialize(keyed.drop("band").join(cells, "cell"), n_keyed)
-    needed = members.select("node").distinct().join(nodes, "node")
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def decided(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, width: int, least: float) -> DataFrame:
+    """The pairs ``(u, v)`` whose texts are alike by their shingles.  ``nodes(node, n_id, n_key)`` name a row each."""
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "n_id", "n_key"), "node")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t or "", width).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "sig", "shingles"])
+            sets = [shingles(t or "", width).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in (2, 3))
+            fit = pa.array([alike(x, y, least) for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fit), batch.column(1).filter(fit)], names=["u", "v"])
 
     same = (F.col("key") == F.col("n_key")) & F.col("id").eqNullSafe(F.col("n_id"))  # copies under other ids need not meet
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(key).alias("key"), F.col(text).alias("text")).join(needed.hint("merge"), same).dropDuplicates(["node"])
-    sets = materialize(in_arrow(texts.select("node", "sig", "text"), hashes, "node long, sig binary, shingles binary"))
-    held = [members, sets]
-
-    def pairs(group: pa.Table) -> pa.Table:
-        return _pairs([group.sort_by("node")], least)
-
-    small = members.where(F.col("n") <= MOST).select("cell", "node").join(sets, "node")
-    edges = small.groupBy("cell").applyInArrow(pairs, "u long, v long")
-    big = members.where(F.col("n") > MOST)
-    if big.limit(1).count():
-        rank = F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("node"), "node"))
-        pivots = big.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("cell", "n", F.lit(PIVOTS).alias("w"), "node", F.col("node").alias("root"))
-        home = big.groupBy("node").agg(F.min(F.struct("band", "cell", "n")).alias("h")).select("h.cell", "h.n", "node", F.col("node").alias("root"))
-        first = materialize(_across(home, pivots, sets, least, star=True), n_keyed)
-        groups = first.where("u <> v").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
-        named = materialize(big.select("cell", "n", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), n_keyed)
-        largest = named.groupBy("cell", "root").count().groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-        waiting = named.join(largest, "cell").where("root <> largest").drop("largest")
-        waiting = materialize(waiting.join(waiting.groupBy("cell").agg(F.count("*").alias("w")), "cell"), n_keyed)
-        edges = edges.unionByName(first).unionByName(_across(named, waiting, sets, least, star=False))
-        held += [first, named, waiting]
-    roots = components(edges)
-    discard(*held)
-    return roots
+    sets = materialize(in_arrow(texts.select("node", "text"), hashes, "node long, shingles binary"))
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_s"))
+    both = pairs.join(of("v").hint("merge"), "v").join(of("u").hint("merge"), "u").select("u", "v", "u_s", "v_s")
+    edges = materialize(in_arrow(both, compare, "u long, v long"))
+    discard(sets)
+    return edges
+
+
+def linked_components(docs: DataFrame, nodes: DataFrame, text: str, key: str, grid: Grids, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """``(node, root)`` of every node that is alike to another.  ``nodes(node, n_id, n_key, size, majority, embedding)`` are distinct and name a row each."""
+    met = candidates(nodes.withColumn("root", F.col("node")), grid, FIRST, least, PIVOTS)
+    first = decided(met.groupBy("u").agg(F.min("v").alias("v")), docs, nodes, text, key, width, least)
+    roots = components(first)
+    named = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rest = candidates(named, grid, PROBES, least)
+    more = decided(rest, docs, nodes, text, key, width, least)
+    out = components(first.union(more))
+    discard(met, first, named, rest, more)
+    return out
 
 
 def near_copies(docs: DataFrame, text: str, key: str, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """``(doc_id, key, root)`` of every row; rows linked as near copies have the same root.  ``key`` is a hash of the text."""
-    rows = materialize(hashed(docs, text, key, width))
-    one = F.min(F.struct("doc_id", "key")).alias("one")
-    nodes = materialize(rows.groupBy("node").agg(one, F.min("sig").alias("sig"), F.count("*").alias("n_rows")).select("node", F.col("one.doc_id").alias("n_id"), F.col("one.key").alias("n_key"), "sig", "n_rows"))
-    roots = linked_components(docs, nodes.drop("n_rows"), text, key, width, least)
-    named = nodes.select("node", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return split_join(rows.select("doc_id", "key", "node"), named, ["node"], "n_rows", rows.count()).select("doc_id", "key", "root")
+    with brief_shuffles(docs.sparkSession):
+        grid = grids(docs.count(), least)
+        rows = materialize(hashed(docs, text, key, width, grid.words))
+        one, same = F.min(F.struct("doc_id", "key")).alias("one"), [F.min(c).alias(c) for c in ("size", "majority", "embedding")]
+        nodes = rows.groupBy("node").agg(one, *same, F.count("*").alias("n_rows"))
+        nodes = materialize(nodes.select("node", F.col("one.doc_id").alias("n_id"), F.col("one.key").alias("n_key"), "size", "majority", "embedding", "n_rows"))
+        roots = linked_components(docs, nodes.drop("n_rows"), text, key, grid, width, least)
+        named = nodes.select("node", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return split_join(rows.select("doc_id", "key", "node"), named, ["node"], "n_rows", rows.count()).select("doc_id", "key", "root")
