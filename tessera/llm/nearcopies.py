@@ -12,15 +12,16 @@ equal ones.  A text goes to its own cell of each grid and to the ``PROBES - 1``
 nearest others, those that it would be in if the bits with the closest majority
 were different, as near copies differ in such bits first.  Texts that meet in a cell are
 candidates if the Manhattan distance of their embeddings is within the range,
-``DEVIATIONS`` above what texts of ``LEAST`` = 0.8 have: first by two words
+``DEVIATIONS`` above what texts of ``LEAST`` = 0.8 have: first by three words
 that the cell does not use, then by the whole.  ``grids`` takes as many grids as
 miss a pair at ``LEAST`` with a chance of ``MISSED``, more alike ones with less.  More
 texts get more coordinates a cell, so that few unlike texts meet.
 
 Every candidate is decided by the exact Jaccard index of its shingles, unless
-its texts are linked by others.  A first round compares the members of a cell
-with the ``PIVOTS`` first ones only, which joins the bulk of a group of near copies;
-the second compares all members of different components.
+its texts are linked by others.  Two rounds, over few and over all cells of a text,
+compare the members of a cell with the ``PIVOTS`` first ones only, and of each the
+nearest and the smallest that it met, which joins the bulk of a group of near copies;
+the last compares all members of different components.
 
 A text of fewer words than a shingle is one shingle; null and wordless texts
 are copies of each other.  Texts, and shingles, are told apart by 64-bit hashes.
@@ -39,23 +40,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import brief_shuffles, discard, in_arrow, materialize, shingled, split_join, word_lists
+from tessera.llm.common import brief_shuffles, discard, in_arrow, materialize, pieces, shingled, split_join, word_lists
 from tessera.llm.components import components
 
 WIDTH, LEAST = 5, 0.8
 #: Chance that the grids part two texts as alike as ``LEAST``.
 MISSED = 0.0003
-#: Cells of a text in a grid, in the first round and in the second, and bits with the closest majority that they differ in.
+#: Cells of a text in a grid, in the first round and in the others, and bits with the closest majority that they differ in.
 FIRST, PROBES, WEAK = 4, 16, 8
 #: A text of fewer shingles goes to all cells that differ in ``WEAK`` bits; its majorities tell little.
 TINY = 16
-#: Members of a cell that are compared as one square, and members that all others are compared with in the first round.
-MOST, PIVOTS = 64, 1
+#: Members of a cell that are compared as one square, and members that all others are compared with in the first rounds.
+MOST, PIVOTS = 512, 1
 #: Words of an embedding that travel with a cell's member; deviations of the range over them and over the whole; its stretch for tiny texts.
-CHECKED, DEVIATIONS, STRETCH = 2, (4.0, 4.5), 1.3
-#: Members a node that are shuffled at once.
+CHECKED, DEVIATIONS, STRETCH = 3, (4.0, 4.5), 1.3
+#: Members a node that are shuffled at once; a cell's members are in one of the buckets of about ``_ROWS``.
 SHUFFLED = 64
-_PIECE, _ROWS = 4096, 1 << 18
+_PIECE, _ROWS = 4096, 1 << 17
 _LOW = np.uint64(0x5555555555555555)
 
 
@@ -192,7 +193,8 @@ def hashed(docs: DataFrame, text: str, key: str, width: int, words: int) -> Data
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col(key), text), run, "doc_id long, key long, node long, size int, majority binary, embedding binary")
 
 
-_MEMBER = "cell long, node long, root long, size int, " + ", ".join(f"e{k} long" for k in range(CHECKED))
+#: A member of a cell, as packed in a bucket.
+_MEMBER = np.dtype([("cell", "i8"), ("node", "i8"), ("root", "i8"), ("size", "i4"), ("words", "u8", (CHECKED,))])
 
 
 def _rows(column: pa.Array, kind: type) -> np.ndarray:
@@ -200,27 +202,31 @@ def _rows(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def members(nodes: DataFrame, grid: Grids, probes: int, some: range) -> DataFrame:
-    """The members of all cells of some of the grids; ``nodes(node, root, size, majority, embedding)``."""
+def members(nodes: DataFrame, grid: Grids, probes: int, some: range, buckets: int) -> DataFrame:
+    """``(bucket, packed)``: the members of all cells of some of the grids; ``nodes(node, root, size, majority, embedding)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _MEMBER.split(", ")]
         for batch in batches:
-            majority, words = _rows(batch.column(3), np.int8), _rows(batch.column(4), np.int64)
-            tiny = batch.column(2).to_numpy() < TINY
-            for rows, n in ((np.flatnonzero(~tiny), probes), (np.flatnonzero(tiny), 1 << WEAK)):
+            majority, words = _rows(batch.column(3), np.int8), _rows(batch.column(4), np.uint64)
+            node, root, size = (batch.column(c).to_numpy() for c in range(3))
+            for rows, n in ((np.flatnonzero(size >= TINY), probes), (np.flatnonzero(size < TINY), 1 << WEAK)):
                 for g in some if len(rows) else ():
                     cell = grid.cells(majority[rows], g, n)
                     each = np.repeat(rows, cell.shape[1])
-                    columns = [cell.ravel(), *(batch.column(c).to_numpy()[each] for c in (0, 1, 2)), *(words[each, w] for w in grid.checked(g))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    out = np.empty(len(each), _MEMBER)
+                    out["cell"], out["node"], out["root"], out["size"], out["words"] = cell.ravel(), node[each], root[each], size[each], words[each][:, grid.checked(g)]
+                    bucket = (cell.ravel().view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    names, start = np.unique(bucket[order], return_index=True)
+                    packed = [x.tobytes() for x in np.split(out[order], start[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
-    return in_arrow(nodes.select("node", "root", "size", "majority", "embedding"), run, _MEMBER)
+    return in_arrow(nodes.select("node", "root", "size", "majority", "embedding"), run, "bucket long, packed binary")
 
 
-def _met(rows: list[np.ndarray], least: float, pivots: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _met(rows: np.ndarray, least: float, pivots: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among members sorted by cell: with ``pivots`` pairs with a cell's first members, without all of different roots."""
-    cell, node, root, size, *words = rows
+    cell, node, root, size, words = (np.ascontiguousarray(rows[c]) for c in rows.dtype.names)
     start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     length = np.diff(np.r_[start, len(cell)])
     near, out = reach(CHECKED, least, DEVIATIONS[0]), []
@@ -229,9 +235,9 @@ def _met(rows: list[np.ndarray], least: float, pivots: int | None) -> tuple[np.n
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         fit = (root[a] != root[b]) & (low >= least * high - 1e-9)
         a, b, low = a[fit], b[fit], low[fit]
-        apart = sum(np.bitwise_count((w[a] ^ w[b]).view(np.uint64)).astype(np.int64) for w in words)
+        apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
         fit = apart <= np.where(low < TINY, STRETCH * near, near)
-        out.append((node[a[fit]], node[b[fit]]))
+        out.append((node[a[fit]], node[b[fit]], apart[fit]))
 
     if pivots:
         first, within = np.repeat(start, length), np.arange(len(cell)) - np.repeat(start, length)
@@ -252,41 +258,50 @@ def _met(rows: list[np.ndarray], least: float, pivots: int | None) -> tuple[np.n
             every = np.arange(s, s + n)
             for a in every[which != count.argmax()]:
                 check(np.full(n, a), every)
-    u, v = (np.concatenate([node[:0], *c]) for c in (zip(*out) if out else ((), ())))
-    pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-    return pair[:, 0], pair[:, 1]
+    u, v, apart = (np.concatenate([node[:0], *c]) for c in (zip(*out) if out else ((), (), ())))
+    pair, first = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0, return_index=True)
+    return pair[:, 0], pair[:, 1], apart[first]
 
 
 def candidates(nodes: DataFrame, grid: Grids, probes: int, least: float, pivots: int | None = None) -> DataFrame:
     """Pairs ``(u, v)`` of ``nodes(node, root, size, majority, embedding)`` with ``u > v`` that meet in a cell and are within the range.
 
-    As many grids at a time as have ``SHUFFLED`` members a node.
+    As many grids at a time as have ``SHUFFLED`` members a node.  With ``pivots`` members meet the first ones of their
+    cells only, and of each the nearest and the smallest that it met remain.
     """
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            u, v = _met(rows, least, pivots)
-            for at in range(0, len(u), _ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(u[at : at + _ROWS]), pa.array(v[at : at + _ROWS])], names=["u", "v"])
-
-        held: list[list[np.ndarray]] = []
-        n = 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n >= _ROWS and held[-1][0][0] != held[-1][0][-1]:  # all but the last cell, which may go on
-                rows = [np.concatenate(c) for c in zip(*held)]
-                end = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1
-                yield from flush([c[:end] for c in rows])
-                held = [[c[end:] for c in rows]]
-                n = len(held[0][0])
-        if n:
-            yield from flush([np.concatenate(c) for c in zip(*held)])
+        def flush(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+            rows = np.frombuffer(b"".join(packed), _MEMBER)
+            packed.clear()
+            columns = _met(rows[np.lexsort((rows["node"], rows["cell"]))], least, pivots)
+            for at in range(0, len(columns[0]), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + _ROWS]) for c in columns], names=["u", "v", "apart"])
+
+        held: list[bytes] = []
+        last = None
+        for batch in pieces(batches):
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != last and held:
+                    yield from flush(held)
+                last = bucket
+                held.append(packed)
+        if held:
+            yield from flush(held)
 
     step, found = max(1, SHUFFLED // probes), []
+    buckets = nodes.count() * probes * min(step, grid.count) // _ROWS + 1
     for g in range(0, grid.count, step):
-        cells = members(nodes, grid, probes, range(g, min(g + step, grid.count))).repartition("cell").sortWithinPartitions("cell", "node")
-        found.append(materialize(cells.mapInArrow(meet, "u long, v long").distinct()))
-    pairs = reduce(DataFrame.union, found).distinct()
+        cells = members(nodes, grid, probes, range(g, min(g + step, grid.count)), buckets).repartition("bucket").sortWithinPartitions("bucket")
+        met = cells.mapInArrow(meet, "u long, v long, apart long")
+        if pivots:
+            met = met.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("near"), F.min("v").alias("least"))
+        else:
+            met = met.select("u", "v").distinct()
+        found.append(materialize(met))
+    pairs = reduce(DataFrame.union, found)
+    if pivots:
+        pairs = pairs.groupBy("u").agg(F.min("near").alias("near"), F.min("least").alias("least")).select("u", F.explode(F.array("near.v", "least")).alias("v"))
+    pairs = pairs.distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = reach(grid.words, least, DEVIATIONS[1])
@@ -336,15 +351,17 @@ def decided(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key:
 
 def linked_components(docs: DataFrame, nodes: DataFrame, text: str, key: str, grid: Grids, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """``(node, root)`` of every node that is alike to another.  ``nodes(node, n_id, n_key, size, majority, embedding)`` are distinct and name a row each."""
-    met = candidates(nodes.withColumn("root", F.col("node")), grid, FIRST, least, PIVOTS)
-    first = decided(met.groupBy("u").agg(F.min("v").alias("v")), docs, nodes, text, key, width, least)
-    roots = components(first)
-    named = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    rest = candidates(named, grid, PROBES, least)
-    more = decided(rest, docs, nodes, text, key, width, least)
-    out = components(first.union(more))
-    discard(met, first, named, rest, more)
-    return out
+    edges, used, named = [], [], nodes.withColumn("root", F.col("node"))
+    for probes, pivots in ((FIRST, PIVOTS), (PROBES, PIVOTS), (PROBES, None)):
+        pairs = candidates(named, grid, probes, least, pivots)
+        edges.append(decided(pairs, docs, nodes, text, key, width, least))
+        roots = components(reduce(DataFrame.union, edges))
+        if pivots:
+            named = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+            used += [roots, named]
+        used.append(pairs)
+    discard(*edges, *used)
+    return roots
 
 
 def near_copies(docs: DataFrame, text: str, key: str, width: int = WIDTH, least: float = LEAST) -> DataFrame:

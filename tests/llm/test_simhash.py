@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -160,3 +161,34 @@ def test_keep_one_picks_rows(spark, make_docs, prose):
     assert [(r.doc_id, r.text, r.n_chars) for r in blank] == [(4, None, 0)]
     unnamed = simhash.keep_one(make_docs([(None, a), (None, a), (None, b)])).collect()
     assert sorted(r.text for r in unnamed) == sorted([a, b])
+
+
+def test_grids_join_near_copies_by_segment_counts():
+    """Pairs at 0.8, small ones too, share a cell and are within the range; unlike ones are not, and no distance exceeds Hamming's."""
+    grid, rng = nearcopies.grids(1000), np.random.default_rng(5)
+    for common, more in ((4, 1), (16, 4), (160, 40)):
+        sets = rng.integers(0, 1 << 63, (150, common + more), dtype=np.uint64)
+        a, b = (np.stack([nearcopies.majorities(nearcopies.bit_counts(x[:n], grid.words), n) for x in sets]) for n in (common + more, common))
+        u, v = nearcopies.embedded(a), nearcopies.embedded(b)
+        apart = np.bitwise_count(u ^ v).sum(axis=1)
+        assert (apart <= ((a >= 0) != (b >= 0)).sum(axis=1)).all()
+        counts = [(x >= 0).reshape(len(x), -1, 2).sum(axis=2) for x in (a, b)]
+        assert (apart == np.abs(counts[0] - counts[1]).sum(axis=1)).all()
+        near, probes = nearcopies.reach(grid.words, 0.8, 4.5), 16
+        if common < nearcopies.TINY:
+            near, probes = near * nearcopies.STRETCH, 256
+        met = np.zeros(len(sets), bool)
+        for g in range(grid.count):
+            met |= (grid.cells(a, g, probes)[:, :, None] == grid.cells(b, g, probes)[:, None, :]).any(axis=(1, 2))
+        assert met.all() and (apart <= near).all()
+        if common > 100:
+            assert (np.bitwise_count(u ^ np.roll(v, 1, axis=0)).sum(axis=1) > near).mean() > 0.99
+
+
+def test_near_copies_are_found_by_the_grids(spark, make_docs, prose, monkeypatch):
+    """The pipeline's stage has no other way to a candidate: without the grids it links copies only."""
+    text = prose(1, 200)
+    docs = make_docs([(1, text), (2, text + " end"), (3, text), (4, prose(2, 200))])
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 4]
+    monkeypatch.setattr(nearcopies.Grids, "cells", lambda self, majority, grid, probes: np.arange(len(majority) * probes).reshape(-1, probes))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2, 4]
