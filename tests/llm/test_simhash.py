@@ -192,3 +192,51 @@ def test_near_copies_are_found_by_the_grids(spark, make_docs, prose, monkeypatch
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 4]
     monkeypatch.setattr(nearcopies.Grids, "cells", lambda self, majority, grid, probes: np.arange(len(majority) * probes).reshape(-1, probes))
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2, 4]
+
+
+def test_a_group_just_under_the_threshold_makes_no_row_a_pair(spark, make_docs, prose):
+    """Texts in range of each other of which few are alike: the rows grow with texts and blocks, and the links are those of all pairs."""
+    base, n = prose(70, 150).split(), 150
+    rng, listed = random.Random(8), []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(150), 1 + k % 5):
+            w[at] = f"x{k}y{at}"
+        listed.append((k, " ".join(w)))
+    docs = make_docs(listed).selectExpr("doc_id", "text", "xxhash64(text) AS key")
+    grid = nearcopies.grids(n)
+    rows = nearcopies.hashed(docs, "text", "key", 5, grid.words).selectExpr("node", "doc_id AS n_id", "key AS n_key", "size", "majority", "embedding")
+    placed = nearcopies.materialize(nearcopies.places(rows.selectExpr("*", "node AS root", "1L AS group")))
+    at = {r.node: r.place >> 16 for r in placed.collect()}
+    near = nearcopies.contested(placed, grid, nearcopies.PROBES, 0.8)
+    assert len(at) == n and n // 2 < near.count() <= n * len(set(at.values()))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in listed]
+    alike = [(a, b) for a in range(n) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    label = list(range(n))
+    while (now := [min([label[k], *(label[a + b - k] for a, b in alike if k in (a, b))]) for k in range(n)]) != label:
+        label = now
+    edges = nearcopies.decided_by_blocks(near, placed, docs, "text", "key", 5, 0.8)
+    assert edges.count() < n < len(alike) < n * (n - 1) // 2
+    names = {r.node: r.n_id for r in rows.collect()}
+    mark = {names[r.node]: names[r.root] for r in components(edges).collect()}
+    groups = lambda f: sorted(sorted(k for k in range(n) if f(k) == m) for m in {f(k) for k in range(n)})
+    assert groups(lambda k: mark.get(k, k)) == groups(lambda k: label[k])
+
+
+def test_packed_rows_do_not_multiply_with_buckets(spark):
+    """A task's rows follow its members, also where batches are many and buckets more."""
+    grid, rng, n = nearcopies.grids(3000), np.random.default_rng(2), 3000
+    majority = rng.integers(-128, 128, (n, 64 * grid.words)).astype(np.int8)
+    embedding = nearcopies.embedded(majority)
+    rows = [(k, k, 100, bytearray(majority[k].tobytes()), bytearray(embedding[k].tobytes())) for k in range(n)]
+    nodes = spark.createDataFrame(rows, "node long, root long, size int, majority binary, embedding binary").coalesce(1)
+    got = nearcopies.members(nodes, grid, 16, range(4), 500).collect()
+    assert sum(len(r.packed) for r in got) == n * 16 * 4 * nearcopies._MEMBER.itemsize
+    assert len(got) <= n * 16 * 4 // nearcopies.PACKED
+
+
+def test_common_counts_shared_hashes():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, most, 60, dtype=np.uint64)) for most in [70] * 14 + [4000] * 10] + [np.empty(0, np.uint64)]
+    both = nearcopies.common(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(25) for j in range(25) if i != j)
